@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, language, pieces, secrets, token_counts
+from . import chat, contamination, jaccard, language, pieces, secrets, token_counts
 from .common import read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op6_jaccard_join, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
