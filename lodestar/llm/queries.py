@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, jaccard, language, pieces, secrets, token_counts
+from . import chat, contamination, jaccard, language, neighbours, pieces, secrets, token_counts
 from .common import read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op6_jaccard_join, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op6_jaccard_join, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
