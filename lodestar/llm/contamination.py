@@ -106,8 +106,11 @@ def extended(rows: DataFrame, window: int, k: int) -> DataFrame:
     return grown.select(*KEY, F.when(own, F.col("n")).alias("n"), *(F.when(~own, c).alias(name) for c, name in ((F.col("item_id"), "item_id"), (start, "start"), (end, "end"))))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, broadcast_bytes: int | None = None) -> DataFrame:
-    """Each document's id, n_words, n_hit (words inside shared windows), n_items, digest of the items, and contaminated."""
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, broadcast_bytes: int | None = None, with_text_key: bool = False) -> DataFrame:
+    """Each document's id, n_words, n_hit (words inside shared windows), n_items, digest of the items, and contaminated.
+
+    with_text_key adds text_key, a hash of the text, which tells apart rows that repeat an id.
+    """
     bench = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words")).withColumn("n", F.size("words"))
     index = write_table(fingerprints(bench, window, k), "fingerprints")
     limits = {} if broadcast_bytes is None else {"limit": broadcast_bytes}
@@ -137,10 +140,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         lambda acc: acc["n"].cast("long"),
     )
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    out = by_doc.select(F.col("doc_key").alias(id_col), F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"))
+    out = by_doc.select(F.col("doc_key").alias(id_col), *["text_key"] * with_text_key, F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs, same columns, without the contaminated ones."""
+    found = decontaminate(docs, items, id_col, text_col, item_id, item_text, with_text_key=True)
+    gone = write_table(found.where("contaminated").select(F.col(id_col).alias("_id"), "text_key"), "contaminated")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("text_key"))
+    return docs.join(small_or_whole(gone, 24), same, "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

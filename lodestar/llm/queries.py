@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, jaccard, language, neighbours, pieces, secrets, token_counts
+from . import chat, contamination, jaccard, language, neighbours, passages, pieces, secrets, token_counts, url_lists
 from .common import read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,52 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+#: A dated list, as production would load it: list, entry, action, day.
+LIST_EVENTS = [
+    ("spam", "d:cheap-pills.example.com", "add", "2023-02-01"),
+    ("spam", "d:cheap-pills.example.com", "remove", "2023-09-15"),
+    ("spam", "d:cheap-pills.example.com", "add", "2024-03-10"),
+    ("spam", "d:tionsh.example.net", "add", "2023-11-01"),
+    ("spam", "d:tionsh.example.net", "add", "2023-12-01"),
+    ("spam", "d:tionsh.example.net", "remove", "2024-06-30"),
+    ("adult", "d:blog.tionble.example.com", "add", "2023-05-05"),
+    ("adult", "d:thther.example.org", "add", "2024-01-01"),
+    ("adult", "d:thther.example.org", "remove", "2024-01-01"),
+    ("mirror", "d:m.ththth.example.net", "add", "2022-01-01"),
+    ("mirror", "d:www.ththwh.example.org", "add", "2024-07-01"),
+    ("mirror", "d:example.org", "add", "2024-09-01"),
+    ("mirror", "d:example.org", "remove", "2024-10-01"),
+    ("language", "p:ththan.example.net/fr", "add", "2023-01-01"),
+    ("language", "p:ththan.example.net/fr", "remove", "2024-02-02"),
+    ("language", "p:blog.ththan.example.net/en", "add", "2023-08-08"),
+]
+
+
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages holds no fetch time: each page's stands in as 2023-01-01 plus page_id modulo 730 days."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE'2023-01-01', cast(pmod(page_id, 730) as int))").alias("fetched_at"))
+    events = spark.createDataFrame(LIST_EVENTS, "list string, entry string, action string, at string").withColumn("at", F.to_date("at"))
+    return url_lists.judge(pages, events).withColumn("fetched_at", F.col("fetched_at").cast("string"))
+
+
+OP5_SQL = r"""
+WITH e(list, entry, action, day) AS (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in LIST_EVENTS) + r"""),
+ s AS (SELECT *, lag(action, 1, 'remove') OVER (PARTITION BY list, entry ORDER BY day, action) AS before FROM e),
+ v AS (SELECT list, entry, substr(entry, 3) AS name, action, day AS f, lead(day) OVER (PARTITION BY list, entry ORDER BY day, action) AS t FROM s WHERE action <> before),
+ p AS (SELECT DISTINCT page_id, url, DATE '2023-01-01' + CAST(page_id % 730 AS INTEGER) AS day,
+   nullif(regexp_replace(lower(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '') AS host,
+   regexp_replace(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*)://[^/?#]+(/[^?#]*)?', 1), '/+', '/', 'g') AS path FROM pages),
+ m AS (SELECT DISTINCT p.page_id, p.url, v.list FROM p JOIN v ON v.action = 'add' AND v.f <= p.day AND (v.t IS NULL OR v.t > p.day)
+   AND (starts_with(v.entry, 'd:') AND (host = v.name OR ends_with(host, '.' || v.name)) OR starts_with(v.entry, 'p:') AND starts_with(host || path || '/', v.name || '/')))
+SELECT p.page_id, any_value(p.host) AS host, CAST(p.day AS VARCHAR) AS fetched_at, coalesce(string_agg(m.list, ',' ORDER BY m.list), '') AS lists, count(m.list) AS n_lists
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url GROUP BY p.page_id, p.url, p.day
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -72,8 +118,8 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op6_jaccard_join, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_substring_dedup, op5_url_lists, op6_jaccard_join, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": contamination.ORACLE}
+    return {"op5_url_lists": OP5_SQL, "op9_decontamination": contamination.ORACLE}
