@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import language, pieces, secrets
+from lodestar.llm import contamination, jaccard, language, pieces, secrets
 from lodestar.llm.common import read_table, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,6 +17,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_known(docs, language.fit(docs))
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies inside benchmark windows go."""
+    return contamination.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; the secrets in it are replaced by a mark and n_chars follows."""
     return secrets.redact_secrets(docs)
@@ -29,11 +39,13 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
     ("secret_scan", secret_scan),
     ("sentencepiece", sentencepiece),
 ]
 
-#: Trained models and merge tables are not expressible in SQL; tests compare stages with brute force.
+#: Trained models and merge tables are not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
