@@ -14,9 +14,9 @@ from the cheapest ones. Smaller sets are found in their own band and, in its upp
 next one. A set with too few units even so is looked up by each of its shingles.
 
 Signatures travel packed in blobs, one for each chunk of documents and bucket. In a bucket, each
-group of equal signatures first gives a star around its smallest id. Stars are verified, and
-components are formed; only then are the group's remaining pairs, those between different
-components, verified too. So no link between components is lost, and a group of copies never
+group of equal signatures gives a star around its smallest id. Each member is verified first with
+the hub it met most often, and components are formed; only then are the pairs that remain, those of
+a group that are in different components, verified too, all of them. So no link between components is lost, and a group of copies never
 becomes all of its pairs.
 
 Defined results: a text without words and a null text have an empty set and link with nothing;
@@ -41,10 +41,12 @@ from .components import connected_components
 
 N, ALL, TIMES = 5, 7, 3  # words in a shingle; similar sets share at least TIMES / ALL of the sum of their sizes
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-CHUNK = 8192
+CHUNK = 4096
 INDEX, PROBE = 1 << 14, 1 << 15
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
+PIECE = 4096  # most members of a group in a row
+ROUNDS = 2  # of verifying each member with its likeliest hub
 
 U = np.uint64
 _ODD, _MIX1, _MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -54,7 +56,7 @@ class _Words(dict):
     """Hash of each word, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 500_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -148,7 +150,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's id, set size, digest of the set and whether its units suffice; and shingles frequent in this task."""
     names = ["id", "n", "set_key", "rest", "shingle", "df"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
-    for b in batches:
+    for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
         sets = [shingles(t) for t in b.column(1).to_pylist()]
         rest = [len(s) > 0 and (k := units(s)) and k[0] + min(k[0], k[1]) < k[2] for s in sets]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -212,7 +214,7 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's groups of equal signatures: the star of each, and the groups of three and more, each list of ids once."""
+    """Of a bucket's groups of equal signatures: pairs of groups of two, each member's likeliest hub in larger ones, and these groups, each list of ids once."""
     sig, place, ids, sizes, bucket = [], [], [], [], 0
     for b in batches:
         for bucket, s, p, i, n in zip(*(c.to_pylist() for c in b.columns)):
@@ -238,26 +240,33 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])])
         doc, n, role, s = doc[first], n[first], np.bitwise_or.reduceat(role, first), s[first]
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, int)
-    pairs, groups, known = [], [], set()
+    pairs, only, groups, known = [], [], [], set()
     for lo, hi in zip(starts, [*starts[1:], len(s)]):
         d, m, r = doc[lo:hi], n[lo:hi], role[lo:hi]
         if d[0] == d[-1] or not (r & PROBE).any():
             continue
         fit = compatible(m[0], r[0], m[1:], r[1:]) & (d[1:] != d[0])
-        pairs.append(np.stack([np.full(int(fit.sum()), d[0]), d[1:][fit]]))
+        (pairs if hi - lo > 2 else only).append(np.stack([np.full(int(fit.sum()), d[0]), d[1:][fit]]))
         if hi - lo > 2 and (k := (d.tobytes(), r.tobytes())) not in known:
             known.add(k)
             groups.append((f"{bucket}:{s[lo]}", d, m, r))
-    names = ["a", "b", "group_key", "ids", "sizes", "roles"]
+    names = ["a", "b", "n", "only", "group_key", "ids", "sizes", "roles"]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    if pairs and (p := np.unique(np.concatenate(pairs, axis=1), axis=1)).shape[1]:
+    for found, alone in ((pairs, False), (only, True)):
+        if not found or not (f := np.concatenate(found, axis=1)).shape[1]:
+            continue
+        p, n_met = np.unique(f, axis=1, return_counts=True)
+        if not alone:  # a member's likeliest hub here; the group itself is kept for the rest
+            best = np.lexsort((p[0], -n_met, p[1]))
+            best = best[np.r_[True, p[1][best][1:] != p[1][best][:-1]]]
+            p, n_met = p[:, best], n_met[best]
         m = p.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.nulls(m, pa.string()), pa.nulls(m, longs), pa.nulls(m, ints), pa.nulls(m, ints)], names=names)
-    pieces = [(k, d[i : i + 4096], m[i : i + 4096], r[i : i + 4096].astype(np.int32)) for k, d, m, r in groups for i in range(0, len(d), 4096)]
-    for i in range(0, len(pieces), 4096):
-        some = list(zip(*pieces[i : i + 4096]))
+        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n_met.astype(np.int64)), pa.array(np.full(m, alone)), pa.nulls(m, pa.string()), pa.nulls(m, longs), pa.nulls(m, ints), pa.nulls(m, ints)], names=names)
+    pieces = [(k + "+" * (len(d) > PIECE), d[i : i + PIECE], m[i : i + PIECE], r[i : i + PIECE].astype(np.int32)) for k, d, m, r in groups for i in range(0, len(d), PIECE)]
+    for i in range(0, len(pieces), 1024):
+        some = list(zip(*pieces[i : i + 1024]))
         m = len(some[0])
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(some[0], pa.string()), pa.array(some[1], longs), pa.array(some[2], ints), pa.array(some[3], ints)], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())), pa.array(some[0], pa.string()), pa.array(some[1], longs), pa.array(some[2], ints), pa.array(some[3], ints)], names=names)
 
 
 def compatible(n: int, role: int, others: np.ndarray, roles: np.ndarray) -> np.ndarray:
@@ -283,7 +292,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     roles = roles.unionByName(pairs.select("hub", "share").distinct().select(F.col("hub").alias("id"), F.struct("hub", "share", F.lit(True).alias("own")).alias("to")))
     # at most MEMBERS addresses in a row, so that neither a hub's shares nor a member's hubs make a row without bound
     roles = write_table(roles.groupBy("id", F.pmod(F.xxhash64("to"), F.lit(64)).alias("part")).agg(F.collect_list("to").alias("to")).drop("part"), "roles")
-    wanted = docs.join(small_or_whole(roles, 64), "id").select("id", "to", "text")
+    wanted = docs.join(small_or_whole(roles, 512), "id").select("id", "to", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,10 +332,38 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return sent.mapInArrow(compare, "a long, b long")
 
 
-def remaining(groups: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs within a group that stars left in different components, and that sizes and roles allow."""
+def split_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
+    """(group_key, c, id, n, role) of the groups whose members are in more than one component c.
+
+    If the components are few enough to be held by every task, groups are tested where they are
+    stored; otherwise their members are joined with the components.
+    """
+    held = 2_000_000
+    if components.limit(held + 1).count() <= held:
+        rows = components.orderBy("node").toPandas()
+        nodes, of = rows["node"].to_numpy(np.int64), rows["component_id"].to_numpy(np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, ends = b.column(1).flatten().to_numpy(), np.cumsum([len(x) for x in b.column(1)])
+                at = np.minimum(np.searchsorted(nodes, ids), max(0, len(nodes) - 1))
+                c = np.where(nodes[at] == ids, of[at], ids) if len(nodes) else ids
+                starts = np.r_[0, ends[:-1]].astype(int)
+                lo, hi = np.minimum.reduceat(c, starts), np.maximum.reduceat(c, starts)
+                row = np.repeat(np.arange(b.num_rows), np.diff(np.r_[0, ends]))
+                # a group stored in several rows is judged later, as its rows may be in different components
+                keep = (lo != hi)[row] | np.array([k.endswith("+") for k in b.column(0).to_pylist()])[row]
+                names = b.column(0).take(pa.array(row[keep]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(c[keep]), pa.array(ids[keep]), pa.array(b.column(2).flatten().to_numpy()[keep]), pa.array(b.column(3).flatten().to_numpy()[keep])], names=["group_key", "c", "id", "n", "role"])
+
+        return groups.select("group_key", "ids", "sizes", "roles").mapInArrow(run, "group_key string, c long, id long, n int, role int")
     members = groups.select("group_key", F.explode(F.arrays_zip("ids", "sizes", "roles")).alias("m")).select("group_key", F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"), F.col("m.roles").alias("role"))
-    members = members.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component_id", "id"))
+    return members.join(components.withColumnRenamed("node", "id"), "id", "left").select("group_key", F.coalesce("component_id", "id").alias("c"), "id", "n", "role")
+
+
+def remaining(groups: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs within a group that are still in different components, and that sizes and roles allow."""
+    members = write_table(split_groups(groups, components), "members")
     parts = F.ceil(F.count("*") / MEMBERS).alias("parts")
     mixed_groups = members.groupBy("group_key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), parts).where("lo <> hi").select("group_key", "parts")
     members = members.join(mixed_groups, "group_key").groupBy("group_key", "c", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_set(F.struct("id", "n", "role")).alias("m"))
@@ -337,6 +374,13 @@ def remaining(groups: DataFrame, components: DataFrame) -> DataFrame:
     return met.where(asked & fits).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
+def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose sides are in different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(components.select(F.col("node").alias(side), F.col("component_id").alias(f"c{side}")), side, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
 def by_every_shingle(docs: DataFrame, measured: DataFrame) -> DataFrame:
     """Pairs for the sets whose segments don't give enough units: all sets of a fitting size that share a shingle with them."""
     rest = measured.where("rest").select("id", "n")
@@ -382,13 +426,24 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     buckets = max(partitions(spark), int(total * 0.7 / 1_500_000) + 1)
     packed = d.mapInArrow(_packer(*heavy_shingles(measured), bucket_keys(spark, buckets)), "bucket long, sigs binary, places binary, ids binary, sizes binary")
-    met = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, group_key string, ids array<long>, sizes array<int>, roles array<int>")
+    met = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, only boolean, group_key string, ids array<long>, sizes array<int>, roles array<int>")
     met = write_table(met, "met")
-    pairs = met.where("a is not null").select("a", "b")
+    pairs = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("only").alias("only"))
     if rest:
-        pairs = pairs.unionByName(by_every_shingle(d, rows))
-    links = write_table(verified(d, pairs.distinct()).unionByName(copies), "similar")
-    more = write_table(remaining(met.where("ids is not null"), connected_components(links)), "remaining")
+        pairs = pairs.unionByName(by_every_shingle(d, rows).select("a", "b", F.lit(1).cast("long").alias("n"), F.lit(True).alias("only")))
+    pairs = write_table(pairs, "candidates")
+    links = write_table(copies, "similar")
+    for _ in range(ROUNDS):
+        pairs = write_table(apart(pairs, connected_components(links)), "candidates")
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+        best = write_table(best, "best")
+        if not best.limit(1).count():
+            break
+        pairs = pairs.join(best, ["a", "b"], "left_anti")
+        links = links.unionByName(write_table(verified(d, best), "similar"))
+    found = write_table(connected_components(links), "components")
+    more = apart(pairs.where("only").select("a", "b"), found).unionByName(remaining(met.where("ids is not null"), found)).distinct()
+    more = write_table(more, "remaining")
     if more.limit(1).count():
         links = links.unionByName(write_table(verified(d, more), "similar"))
     return rows, links
