@@ -45,6 +45,7 @@ CHUNK = 4096
 INDEX, PROBE = 1 << 14, 1 << 15
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
+TILE = 1024  # most members of a cluster in a tile
 PIECE = 4096  # most members of a group in a row
 ROUNDS = 2  # of verifying each member with its likeliest hub
 
@@ -107,43 +108,57 @@ def units(s: np.ndarray) -> tuple[int, int, int]:
     return len(starts), int((sizes > 1).sum()), 2 * len(s) // ALL + 1
 
 
-def signatures(s: np.ndarray, heavy: np.ndarray, heavy_df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set's signatures and their roles: INDEX (found by others), PROBE (looks for others) or both."""
-    n = len(s)
-    band = n.bit_length() - 1
-    deletions = n < DELETIONS_UNDER
-    sigs, roles = [], []
-    for b in [band, band + 1] if 2 * n >= 3 << band else [band]:
-        starts, seg = cut(s, segments_of(b))
-        sizes = np.diff(np.r_[starts, n])
+def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets, their roles, INDEX (found by others), PROBE (looks for others) or both, and each one's set."""
+    n = np.array([len(s) for s in sets])
+    band = np.array([len(s).bit_length() - 1 for s in sets])
+    sigs, roles, docs = [], [], []
+
+    def add(sig: np.ndarray, role: np.ndarray | int, doc: np.ndarray) -> None:
+        sigs.append(sig)
+        roles.append(np.broadcast_to(np.asarray(role, np.uint16), sig.shape))
+        docs.append(doc)
+
+    for up in (0, 1):
+        which = np.flatnonzero(2 * n >= 3 << band) if up else np.arange(len(sets))
+        if not len(which):
+            continue
+        s, size = np.concatenate([sets[i] for i in which]), n[which]
+        doc = np.repeat(which, size)
+        many = np.maximum(1, 3 * (1 << (band[which] + up)) // 4).astype(U)
+        seg = ((s >> U(32)) * np.repeat(many, size)) >> U(32)
+        starts = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])])
+        sizes = np.diff(np.r_[starts, len(s)])
+        owner, seg = doc[starts], seg[starts]
         each = mixed(s + _ODD)
         sums = np.add.reduceat(each, starts)
-        tag = seg * _MIX1 + U((b + 1) * int(_MIX2) % (1 << 64))
+        tag = seg * _MIX1 + (band[owner] + up + 1).astype(U) * _MIX2
         full = mixed(sums + tag)
-        less = sums.repeat(sizes) - each  # each segment without each of its elements
-        sigs.append(full)
         role = np.full(len(full), INDEX, np.uint16)
-        if b == band:
-            need = 2 * n // ALL + 1
+        if not up:
             cost = np.ones(len(full))
             if len(heavy):
                 at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                 cost = np.minimum.reduceat(np.where(heavy[at] == s, heavy_df[at], 1.0), starts)
-            order = np.argsort(cost, kind="stable")
-            role[order[:need]] |= PROBE
-            if len(full) < need:
-                able = order[sizes[order] > 1][: need - len(full)]
-                twice = np.isin(np.repeat(np.arange(len(full)), sizes), able)
-                sigs += [mixed(less + tag.repeat(sizes))[twice], mixed(full[able] ^ _ODD)]
-                roles += [role, np.full(int(twice.sum()), PROBE, np.uint16), np.full(len(able), PROBE, np.uint16)]
-                role = None
-        if role is not None:
-            roles.append(role)
-        if deletions:  # found by a set that lacks one element of a segment
-            kept = sizes.repeat(sizes) > 1
-            sigs.append(mixed(mixed(less + tag.repeat(sizes)) ^ _ODD)[kept])
-            roles.append(np.full(int(kept.sum()), INDEX, np.uint16))
-    return np.concatenate(sigs), np.concatenate(roles)
+            order = np.lexsort((cost, owner))
+            first = np.searchsorted(owner, which)
+            have = np.diff(np.r_[first, len(owner)])
+            need = 2 * size // ALL + 1
+            rank = np.arange(len(order)) - np.repeat(first, have)  # of each segment in order, within its set
+            role[order[rank < np.repeat(need, have)]] |= PROBE
+            for i in np.flatnonzero(have < need):  # few and small sets
+                mine = order[first[i] : first[i] + have[i]]
+                able = mine[sizes[mine] > 1][: need[i] - have[i]]
+                for j in able:
+                    part = slice(starts[j], starts[j] + sizes[j])
+                    add(mixed(sums[j] - each[part] + tag[j]), PROBE, doc[part])
+                add(mixed(full[able] ^ _ODD), PROBE, owner[able])
+        add(full, role, owner)
+        small = (n[doc] < DELETIONS_UNDER) & (np.repeat(sizes, sizes) > 1)
+        if small.any():  # found by a set that lacks one element of a segment
+            less = (np.repeat(sums + tag, sizes) - each)[small]
+            add(mixed(mixed(less) ^ _ODD), INDEX, doc[small])
+    return np.concatenate(sigs), np.concatenate(roles), np.concatenate(docs)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,31 +182,29 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
-    """Signatures of a task's distinct sets, packed by bucket: 32 bits of signature, role and place in the blob's list of ids."""
+    """Signatures of a task's distinct sets, packed by bucket: 40 bits of signature, role and place in the blob's list of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         ids: list[int] = []
-        sizes: list[int] = []
-        sigs: list[np.ndarray] = []
-        roles: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
 
         def packed() -> pa.RecordBatch:
-            sig, role = np.concatenate(sigs), np.concatenate(roles)
-            doc = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(x) for x in sigs])
-            bucket = ((sig >> U(32)) * U(len(keys))) >> U(32)
+            sig, role, doc = signatures(sets, heavy, heavy_df)
+            sizes = [len(x) for x in sets]
+            bucket = ((sig >> U(24) & U(0xFFFFFFFF)) * U(len(keys))) >> U(32)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(len(keys) + 1, dtype=U))
-            all_ids, all_n = np.array(ids, np.int64), np.array(sizes, np.int32)
+            all_ids, all_n, doc = np.array(ids, np.int64), np.array(sizes, np.int32), doc.astype(np.uint16)
             rows: list[list] = [[], [], [], [], []]
             for i in range(len(keys)):
                 part = order[ends[i] : ends[i + 1]]
                 if len(part):
                     used, place = np.unique(doc[part], return_inverse=True)
-                    for to, x in zip(rows, (int(keys[i]), sig[part].astype(np.uint32).tobytes(), (place.astype(np.uint16) | role[part]).tobytes(), all_ids[used].tobytes(), all_n[used].tobytes())):
+                    for to, x in zip(rows, (int(keys[i]), sig[part].astype(np.uint32).tobytes() + (sig[part] >> U(56)).astype(np.uint8).tobytes(), (place.astype(np.uint16) | role[part]).tobytes(), all_ids[used].tobytes(), all_n[used].tobytes())):
                         to.append(x)
-            for x in (ids, sizes, sigs, roles):
-                x.clear()
+            ids.clear()
+            sets.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "sigs", "places", "ids", "sizes"])
 
         for b in batches:
@@ -200,11 +213,8 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
                 if not len(s) or doc_id is None or (k := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(k)
-                sig, role = signatures(s, heavy, heavy_df)
                 ids.append(doc_id)
-                sizes.append(len(s))
-                sigs.append(sig)
-                roles.append(role)
+                sets.append(s)
                 if len(ids) == CHUNK:
                     yield packed()
         if ids:
@@ -220,7 +230,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, s, p, i, n in zip(*(c.to_pylist() for c in b.columns)):
             at = np.frombuffer(p, np.uint16)
             doc = at & np.uint16(INDEX - 1)
-            sig.append(np.frombuffer(s, np.uint32))
+            low, high = np.frombuffer(s, np.uint32, len(at)), np.frombuffer(s, np.uint8, len(at), 4 * len(at))
+            sig.append(low.astype(U) << U(8) | high)
             place.append(at & np.uint16(INDEX | PROBE))
             ids.append(np.frombuffer(i, np.int64)[doc])
             sizes.append(np.frombuffer(n, np.int32)[doc])
@@ -240,22 +251,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])])
         doc, n, role, s = doc[first], n[first], np.bitwise_or.reduceat(role, first), s[first]
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, int)
-    pairs, only, groups, known = [], [], [], set()
-    for lo, hi in zip(starts, [*starts[1:], len(s)]):
-        d, m, r = doc[lo:hi], n[lo:hi], role[lo:hi]
-        if d[0] == d[-1] or not (r & PROBE).any():
-            continue
-        fit = compatible(m[0], r[0], m[1:], r[1:]) & (d[1:] != d[0])
-        (pairs if hi - lo > 2 else only).append(np.stack([np.full(int(fit.sum()), d[0]), d[1:][fit]]))
-        if hi - lo > 2 and (k := (d.tobytes(), r.tobytes())) not in known:
-            known.add(k)
-            groups.append((f"{bucket}:{s[lo]}", d, m, r))
+    count = np.diff(np.r_[starts, len(s)])
+    probed = np.repeat(np.bitwise_or.reduceat(role, starts) & PROBE != 0, count) if len(s) else np.empty(0, bool)
+    hub, large = np.repeat(starts, count), np.repeat(count, count) > 2
+    fit = probed & (doc != doc[hub]) & compatible(n[hub], role[hub], n, role)
+    pairs, only = ([np.stack([doc[hub][x], doc[x]])] for x in (fit & large, fit & ~large))
+    # each list of ids and roles once: by two sums of hashes over the group
+    keys = [np.add.reduceat(mixed(doc.view(U) * _ODD + role.astype(U) + U(salt)), starts) for salt in (1, 2)] if len(s) else [np.empty(0, U)] * 2
+    wanted = np.flatnonzero((count > 2) & probed[starts]) if len(s) else np.empty(0, int)
+    _, once = np.unique(np.stack([keys[0][wanted], keys[1][wanted], count[wanted].astype(U)]), axis=1, return_index=True)
+    groups = [(f"{bucket}:{s[lo]}", doc[lo : lo + m], n[lo : lo + m], role[lo : lo + m]) for lo, m in zip(starts[wanted[once]].tolist(), count[wanted[once]].tolist())]
     names = ["a", "b", "n", "only", "group_key", "ids", "sizes", "roles"]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     for found, alone in ((pairs, False), (only, True)):
         if not found or not (f := np.concatenate(found, axis=1)).shape[1]:
             continue
-        p, n_met = np.unique(f, axis=1, return_counts=True)
+        f = f[:, np.lexsort((f[0], f[1]))]
+        first = np.flatnonzero(np.r_[True, (f[:, 1:] != f[:, :-1]).any(axis=0)])
+        p, n_met = f[:, first], np.diff(np.r_[first, f.shape[1]])
         if not alone:  # a member's likeliest hub here; the group itself is kept for the rest
             best = np.lexsort((p[0], -n_met, p[1]))
             best = best[np.r_[True, p[1][best][1:] != p[1][best][:-1]]]
@@ -269,7 +282,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(m, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())), pa.array(some[0], pa.string()), pa.array(some[1], longs), pa.array(some[2], ints), pa.array(some[3], ints)], names=names)
 
 
-def compatible(n: int, role: int, others: np.ndarray, roles: np.ndarray) -> np.ndarray:
+def compatible(n: np.ndarray, role: np.ndarray, others: np.ndarray, roles: np.ndarray) -> np.ndarray:
     """Which others may be similar by size and were asked for, by either side."""
     big, small = np.maximum(n, others), np.minimum(n, others)
     asked = ((role & PROBE != 0) & (roles & INDEX != 0)) | ((role & INDEX != 0) & (roles & PROBE != 0))
@@ -361,17 +374,92 @@ def split_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(components.withColumnRenamed("node", "id"), "id", "left").select("group_key", F.coalesce("component_id", "id").alias("c"), "id", "n", "role")
 
 
-def remaining(groups: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs within a group that are still in different components, and that sizes and roles allow."""
-    members = write_table(split_groups(groups, components), "members")
-    parts = F.ceil(F.count("*") / MEMBERS).alias("parts")
-    mixed_groups = members.groupBy("group_key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), parts).where("lo <> hi").select("group_key", "parts")
-    members = members.join(mixed_groups, "group_key").groupBy("group_key", "c", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_set(F.struct("id", "n", "role")).alias("m"))
-    x, y = members.alias("x"), members.alias("y")
-    met = x.join(y, (F.col("x.group_key") == F.col("y.group_key")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.m").alias("m"), F.explode("y.m").alias("q")).select("q", F.explode("m").alias("p"))
-    asked = ((F.col("p.role").bitwiseAND(PROBE) != 0) & (F.col("q.role").bitwiseAND(INDEX) != 0)) | ((F.col("p.role").bitwiseAND(INDEX) != 0) & (F.col("q.role").bitwiseAND(PROBE) != 0))
-    fits = 4 * F.least("p.n", "q.n") >= 3 * F.greatest("p.n", "q.n")
-    return met.where(asked & fits).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links between different components c within groups (group_key, c, id, n, role): all pairs that sizes and roles allow are compared.
+
+    Groups that share members, directly or over other groups, form a cluster; a cluster is one cell,
+    or, beyond TILE members, one cell for each two of its tiles that a group spans. A cell gets its
+    groups and each of its sets once, and pairs exist only as bits within it.
+    """
+    spark = docs.sparkSession
+    least = members.groupBy("group_key").agg(F.min("id").alias("a"))
+    clusters = write_table(connected_components(members.join(least, "group_key").select("a", F.col("id").alias("b")), node="id", component="cluster"), "clusters")
+    tiles = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    placed = members.join(clusters, "id").join(tiles, "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    spans = placed.where("tiles > 1").groupBy("group_key").agg(F.collect_set("tile").alias("others"))
+    placed = placed.join(spans, "group_key", "left").withColumn("other", F.explode(F.coalesce("others", F.array(F.lit(0).cast("long")))))
+    cell = F.concat_ws(":", "cluster", F.least("tile", "other"), F.greatest("tile", "other"))
+    placed = write_table(placed.select(cell.alias("cell"), "group_key", "id", "c", "n", "role"), "placed")
+    cells = placed.select("id", "cell").distinct().groupBy("id", F.pmod(F.xxhash64("cell"), F.lit(64)).alias("part")).agg(F.collect_list("cell").alias("cells"))
+    wanted = docs.join(small_or_whole(write_table(cells.drop("part"), "cells"), 256), "id").select("id", "cells", "text")
+    kinds = {"cell": pa.string(), "kind": pa.int32(), "group_key": pa.string(), "id": pa.int64(), "c": pa.int64(), "n": pa.int32(), "role": pa.int32(), "blob": pa.binary()}
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                rows = [(cell, doc_id, blob) for doc_id, to, text in zip(*(x.to_pylist() for x in b.columns)) for blob in [shingles(text).tobytes()] for cell in to]
+                m = len(rows)
+                held = {"cell": [r[0] for r in rows], "kind": [0] * m, "id": [r[1] for r in rows], "blob": [r[2] for r in rows]}
+                yield pa.RecordBatch.from_arrays([pa.array(held[k], kind) if k in held else pa.nulls(m, kind) for k, kind in kinds.items()], names=list(kinds))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, rows = None, {}, []
+        for b in batches:
+            for row in zip(*(x.to_pylist() for x in b.columns)):
+                if row[0] != at:
+                    yield from linked(held, rows)
+                    at, held, rows = row[0], {}, []
+                if row[1] == 0:
+                    held.setdefault(row[3], []).append(np.frombuffer(row[7], U))
+                else:
+                    rows.append(row[2:7])
+        yield from linked(held, rows)
+
+    schema = "cell string, kind int, group_key string, id long, c long, n int, role int, blob binary"
+    sent = wanted.mapInArrow(sets, schema).unionByName(placed.select("cell", F.lit(1).alias("kind"), "group_key", "id", "c", "n", "role", F.lit(None).cast("binary").alias("blob")))
+    sent = sent.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "kind", "group_key")
+    return sent.mapInArrow(compare, "a long, b long")
+
+
+def linked(held: dict[int, list[np.ndarray]], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The links of one cell, from its sets by id and its groups' rows (group_key, id, c, n, role)."""
+    ids = sorted(held)
+    if len(ids) < 2:
+        return
+    place = {x: i for i, x in enumerate(ids)}
+    wanted = np.zeros((len(ids), len(ids)), bool)
+    lo = 0
+    for hi in range(1, len(rows) + 1):
+        if hi < len(rows) and rows[hi][0] == rows[lo][0]:
+            continue
+        at, c, n, role = (np.array(x) for x in zip(*((place[r[1]], *r[2:]) for r in rows[lo:hi] if r[1] in place)))
+        i, j = np.nonzero((c[:, None] != c) & compatible(n[:, None], role[:, None], n, role))
+        wanted[np.minimum(at[i], at[j]), np.maximum(at[i], at[j])] = True
+        lo = hi
+    used = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
+    code = {i: k for k, i in enumerate(used)}
+    texts = [(i, s) for i in used for s in held[ids[i]]]  # more than one, if an id is repeated
+    if not texts:
+        return
+    _, codes = np.unique(np.concatenate([s for _, s in texts]), return_inverse=True)
+    owner, size = np.array([code[i] for i, _ in texts]), np.array([len(s) for _, s in texts])
+    ends = np.cumsum(size)
+    flag = np.zeros(codes.max() + 1, bool)
+    a, b = [], []
+    for t, (i, s) in enumerate(texts):
+        partners = np.flatnonzero(wanted[i][used][owner])
+        if not len(partners):
+            continue
+        mine = codes[ends[t] - size[t] : ends[t]]
+        flag[mine] = True
+        picked = np.concatenate([codes[ends[p] - size[p] : ends[p]] for p in partners])
+        shared = np.add.reduceat(flag[picked].astype(np.int64), np.r_[0, np.cumsum(size[partners])[:-1]])
+        flag[mine] = False
+        for p in partners[100 * shared >= 75 * (len(s) + size[partners] - shared)]:
+            a.append(ids[i])
+            b.append(ids[used[owner[p]]])
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -442,10 +530,16 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = pairs.join(best, ["a", "b"], "left_anti")
         links = links.unionByName(write_table(verified(d, best), "similar"))
     found = write_table(connected_components(links), "components")
-    more = apart(pairs.where("only").select("a", "b"), found).unionByName(remaining(met.where("ids is not null"), found)).distinct()
-    more = write_table(more, "remaining")
-    if more.limit(1).count():
-        links = links.unionByName(write_table(verified(d, more), "similar"))
+    members = split_groups(met.where("ids is not null"), found)
+    pair = apart(pairs.where("only").select("a", "b"), found).withColumn("group_key", F.concat_ws("-", "a", "b"))
+    sides = [pair.select("group_key", F.col(x).alias("id")) for x in ("a", "b")]
+    both = F.lit(INDEX | PROBE)
+    loose = sides[0].unionByName(sides[1]).join(found, F.col("id") == F.col("node"), "left").select("group_key", F.coalesce("component_id", "id").alias("c"), "id", F.lit(1).alias("n"), both.alias("role"))
+    members = write_table(members.unionByName(loose), "members")
+    split = members.groupBy("group_key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("group_key")
+    members = write_table(members.join(split, "group_key", "left_semi"), "members")
+    if members.limit(1).count():
+        links = links.unionByName(write_table(cross_links(d, members), "similar"))
     return rows, links
 
 
