@@ -41,7 +41,7 @@ from .components import connected_components
 
 N, ALL, TIMES = 5, 7, 3  # words in a shingle; similar sets share at least TIMES / ALL of the sum of their sizes
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-CHUNK = 4096
+CHUNK, BLOCK = 4096, 512  # documents in a blob, and at a time in the kernels
 INDEX, PROBE = 1 << 14, 1 << 15
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
@@ -57,7 +57,7 @@ class _Words(dict):
     """Hash of each word, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -165,7 +165,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's id, set size, digest of the set and whether its units suffice; and shingles frequent in this task."""
     names = ["id", "n", "set_key", "rest", "shingle", "df"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
-    for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
+    for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
         sets = [shingles(t) for t in b.column(1).to_pylist()]
         rest = [len(s) > 0 and (k := units(s)) and k[0] + min(k[0], k[1]) < k[2] for s in sets]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -190,7 +190,9 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
         sets: list[np.ndarray] = []
 
         def packed() -> pa.RecordBatch:
-            sig, role, doc = signatures(sets, heavy, heavy_df)
+            parts = [signatures(sets[i : i + BLOCK], heavy, heavy_df) for i in range(0, len(sets), BLOCK)]
+            sig, role = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            doc = np.concatenate([p[2] + i * BLOCK for i, p in enumerate(parts)])
             sizes = [len(x) for x in sets]
             bucket = ((sig >> U(24) & U(0xFFFFFFFF)) * U(len(keys))) >> U(32)
             order = np.argsort(bucket, kind="stable")
