@@ -48,13 +48,14 @@ IDENTIFIERS = (
     "security sequence serialize service session signature source statement static status storage string structure system "
     "template thread timestamp token transaction transform update username utility validate value variable version window "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 11111111 https://www. .com/ get_ set_ is_ to_ "
-).encode()
+)
+PRIMED = (IDENTIFIERS + IDENTIFIERS.title()).encode()
 
 
 @lru_cache(maxsize=4096)
 def novelty(candidate: str, around: str) -> float:
     """Marginal compressed bytes per byte of candidate, given identifiers and the text around it."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(PRIMED + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
     raw = candidate.encode()
     return (len(press.compress(raw)) - len(press.compress(b""))) / len(raw)
@@ -68,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], context: int = 256, near: int = 48, least: float = 0.8) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int, int]], context: int = 256, near: int = 48, least: float = 0.9) -> list[tuple[int, int, int]]:
     """Spans that the fixed patterns miss: digits and letters mixed, a sensitive word near, nearly incompressible."""
     found = []
     for m in CANDIDATE.finditer(text):
