@@ -17,7 +17,7 @@ Signatures travel packed in blobs, one for each chunk of documents and bucket. I
 group of equal signatures gives a star around its smallest id. Each member is verified first with
 the hub it met most often, and components are formed; only then are the pairs that remain, those of
 a group that are in different components, verified too, all of them. So no link between components is lost, and a group of copies never
-becomes all of its pairs.
+becomes all of its pairs. Pairs that remain must share as many segments as similar sets do.
 
 Defined results: a text without words and a null text have an empty set and link with nothing;
 fewer words than five are one shingle; a null id has no component; rows that repeat an id give one
@@ -45,7 +45,7 @@ CHUNK, BLOCK = 4096, 512  # documents in a blob, and at a time in the kernels
 INDEX, PROBE = 1 << 14, 1 << 15
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
-TILE = 1024  # most members of a cluster in a tile
+TILE = 2048  # most members of a cluster in a tile
 PIECE = 4096  # most members of a group in a row
 ROUNDS = 2  # of verifying each member with its likeliest hub
 
@@ -108,11 +108,11 @@ def units(s: np.ndarray) -> tuple[int, int, int]:
     return len(starts), int((sizes > 1).sum()), 2 * len(s) // ALL + 1
 
 
-def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets, their roles, INDEX (found by others), PROBE (looks for others) or both, and each one's set."""
+def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets, their roles, INDEX (found by others), PROBE (looks for others) or both, and each one's set; and each set's number of segments."""
     n = np.array([len(s) for s in sets])
     band = np.array([len(s).bit_length() - 1 for s in sets])
-    sigs, roles, docs = [], [], []
+    sigs, roles, docs, segments = [], [], [], None
 
     def add(sig: np.ndarray, role: np.ndarray | int, doc: np.ndarray) -> None:
         sigs.append(sig)
@@ -142,7 +142,7 @@ def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray)
                 cost = np.minimum.reduceat(np.where(heavy[at] == s, heavy_df[at], 1.0), starts)
             order = np.lexsort((cost, owner))
             first = np.searchsorted(owner, which)
-            have = np.diff(np.r_[first, len(owner)])
+            segments = have = np.diff(np.r_[first, len(owner)])
             need = 2 * size // ALL + 1
             rank = np.arange(len(order)) - np.repeat(first, have)  # of each segment in order, within its set
             role[order[rank < np.repeat(need, have)]] |= PROBE
@@ -158,19 +158,20 @@ def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray)
         if small.any():  # found by a set that lacks one element of a segment
             less = (np.repeat(sums + tag, sizes) - each)[small]
             add(mixed(mixed(less) ^ _ODD), INDEX, doc[small])
-    return np.concatenate(sigs), np.concatenate(roles), np.concatenate(docs)
+    return np.concatenate(sigs), np.concatenate(roles), np.concatenate(docs), segments
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's id, set size, digest of the set and whether its units suffice; and shingles frequent in this task."""
-    names = ["id", "n", "set_key", "rest", "shingle", "df"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
+    names = ["id", "n", "set_key", "rest", "segments", "shingle", "df"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
     for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
         sets = [shingles(t) for t in b.column(1).to_pylist()]
-        rest = [len(s) > 0 and (k := units(s)) and k[0] + min(k[0], k[1]) < k[2] for s in sets]
+        had = [units(s) if len(s) else (0, 0, 0) for s in sets]
+        rest = [k[0] + min(k[0], k[1]) < k[2] for k in had]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         none = lambda kind, n=len(sets): pa.nulls(n, kind)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(map(bool, rest), pa.bool_()), none(kinds[4]), none(kinds[5])], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(rest, pa.bool_()), pa.array([k[0] for k in had], pa.int64()), none(kinds[5]), none(kinds[6])], names=names)
         distinct = {k: s for k, s in zip(keys, sets) if k}
         if distinct:
             every = np.sort(np.concatenate(list(distinct.values())))
@@ -178,7 +179,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(np.r_[starts, len(every)])
             often = n >= 4
             none = lambda kind, n=int(often.sum()): pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([*(none(k) for k in kinds[:4]), pa.array(every[starts[often]].view(np.int64)), pa.array(n[often])], names=names)
+            yield pa.RecordBatch.from_arrays([*(none(k) for k in kinds[:5]), pa.array(every[starts[often]].view(np.int64)), pa.array(n[often])], names=names)
 
 
 def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
@@ -193,11 +194,11 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
             parts = [signatures(sets[i : i + BLOCK], heavy, heavy_df) for i in range(0, len(sets), BLOCK)]
             sig, role = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             doc = np.concatenate([p[2] + i * BLOCK for i, p in enumerate(parts)])
-            sizes = [len(x) for x in sets]
+            sizes = np.array([len(x) for x in sets]) | np.concatenate([p[3] for p in parts]) << 32
             bucket = ((sig >> U(24) & U(0xFFFFFFFF)) * U(len(keys))) >> U(32)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(len(keys) + 1, dtype=U))
-            all_ids, all_n, doc = np.array(ids, np.int64), np.array(sizes, np.int32), doc.astype(np.uint16)
+            all_ids, all_n, doc = np.array(ids, np.int64), sizes, doc.astype(np.uint16)
             rows: list[list] = [[], [], [], [], []]
             for i in range(len(keys)):
                 part = order[ends[i] : ends[i + 1]]
@@ -236,7 +237,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig.append(low.astype(U) << U(8) | high)
             place.append(at & np.uint16(INDEX | PROBE))
             ids.append(np.frombuffer(i, np.int64)[doc])
-            sizes.append(np.frombuffer(n, np.int32)[doc])
+            sizes.append(np.frombuffer(n, np.int64)[doc])
     if not sig:
         return
     s = np.concatenate(sig)
@@ -255,15 +256,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, int)
     count = np.diff(np.r_[starts, len(s)])
     probed = np.repeat(np.bitwise_or.reduceat(role, starts) & PROBE != 0, count) if len(s) else np.empty(0, bool)
+    n, k = n & 0xFFFFFFFF, n >> 32
     hub, large = np.repeat(starts, count), np.repeat(count, count) > 2
-    fit = probed & (doc != doc[hub]) & compatible(n[hub], role[hub], n, role)
-    pairs, only = ([np.stack([doc[hub][x], doc[x]])] for x in (fit & large, fit & ~large))
+    fit = (doc != doc[hub]) & near_sizes(n[hub], n)
+    pairs, only = ([np.stack([doc[hub][x], doc[x]])] for x in (fit & large & probed & asked(role[hub], role), fit & ~large))
     # each list of ids and roles once: by two sums of hashes over the group
     keys = [np.add.reduceat(mixed(doc.view(U) * _ODD + role.astype(U) + U(salt)), starts) for salt in (1, 2)] if len(s) else [np.empty(0, U)] * 2
-    wanted = np.flatnonzero((count > 2) & probed[starts]) if len(s) else np.empty(0, int)
-    _, once = np.unique(np.stack([keys[0][wanted], keys[1][wanted], count[wanted].astype(U)]), axis=1, return_index=True)
-    groups = [(f"{bucket}:{s[lo]}", doc[lo : lo + m], n[lo : lo + m], role[lo : lo + m]) for lo, m in zip(starts[wanted[once]].tolist(), count[wanted[once]].tolist())]
-    names = ["a", "b", "n", "only", "group_key", "ids", "sizes", "roles"]
+    wanted = np.flatnonzero(count > 2)
+    _, once, times = np.unique(np.stack([keys[0][wanted], keys[1][wanted], count[wanted].astype(U)]), axis=1, return_index=True, return_counts=True)
+    groups = [(f"{bucket}:{s[lo]}", doc[lo : lo + m], n[lo : lo + m] | k[lo : lo + m] << 32, role[lo : lo + m], t) for lo, m, t in zip(starts[wanted[once]].tolist(), count[wanted[once]].tolist(), times.tolist())]
+    names = ["a", "b", "n", "only", "group_key", "times", "ids", "sizes", "roles"]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     for found, alone in ((pairs, False), (only, True)):
         if not found or not (f := np.concatenate(found, axis=1)).shape[1]:
@@ -276,19 +278,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = best[np.r_[True, p[1][best][1:] != p[1][best][:-1]]]
             p, n_met = p[:, best], n_met[best]
         m = p.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n_met.astype(np.int64)), pa.array(np.full(m, alone)), pa.nulls(m, pa.string()), pa.nulls(m, longs), pa.nulls(m, ints), pa.nulls(m, ints)], names=names)
-    pieces = [(k + "+" * (len(d) > PIECE), d[i : i + PIECE], m[i : i + PIECE], r[i : i + PIECE].astype(np.int32)) for k, d, m, r in groups for i in range(0, len(d), PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n_met.astype(np.int64)), pa.array(np.full(m, alone)), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, longs), pa.nulls(m, longs), pa.nulls(m, ints)], names=names)
+    pieces = [(k + "+" * (len(d) > PIECE), t, d[i : i + PIECE], m[i : i + PIECE], r[i : i + PIECE].astype(np.int32)) for k, d, m, r, t in groups for i in range(0, len(d), PIECE)]
     for i in range(0, len(pieces), 1024):
         some = list(zip(*pieces[i : i + 1024]))
         m = len(some[0])
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())), pa.array(some[0], pa.string()), pa.array(some[1], longs), pa.array(some[2], ints), pa.array(some[3], ints)], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())), pa.array(some[0], pa.string()), pa.array(some[1], pa.int32()), pa.array(some[2], longs), pa.array(some[3], longs), pa.array(some[4], ints)], names=names)
 
 
-def compatible(n: np.ndarray, role: np.ndarray, others: np.ndarray, roles: np.ndarray) -> np.ndarray:
-    """Which others may be similar by size and were asked for, by either side."""
-    big, small = np.maximum(n, others), np.minimum(n, others)
-    asked = ((role & PROBE != 0) & (roles & INDEX != 0)) | ((role & INDEX != 0) & (roles & PROBE != 0))
-    return asked & (4 * small.astype(np.int64) >= 3 * big.astype(np.int64))
+def near_sizes(n: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return 4 * np.minimum(n, others) >= 3 * np.maximum(n, others)
+
+
+def asked(role: np.ndarray, roles: np.ndarray) -> np.ndarray:
+    """Whether either side of a meeting looks for the other."""
+    return ((role & PROBE != 0) & (roles & INDEX != 0)) | ((role & INDEX != 0) & (roles & PROBE != 0))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -348,7 +352,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def split_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
-    """(group_key, c, id, n, role) of the groups whose members are in more than one component c.
+    """(group_key, times, c, id, n, role) of the groups whose members are in more than one component c.
 
     If the components are few enough to be held by every task, groups are tested where they are
     stored; otherwise their members are joined with the components.
@@ -360,28 +364,30 @@ def split_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, ends = b.column(1).flatten().to_numpy(), np.cumsum([len(x) for x in b.column(1)])
+                ids, size = b.column(2).flatten().to_numpy(), np.array([len(x) for x in b.column(2)], np.int64)
                 at = np.minimum(np.searchsorted(nodes, ids), max(0, len(nodes) - 1))
                 c = np.where(nodes[at] == ids, of[at], ids) if len(nodes) else ids
-                starts = np.r_[0, ends[:-1]].astype(int)
-                lo, hi = np.minimum.reduceat(c, starts), np.maximum.reduceat(c, starts)
-                row = np.repeat(np.arange(b.num_rows), np.diff(np.r_[0, ends]))
+                starts = np.r_[0, np.cumsum(size)[:-1]].astype(int)
                 # a group stored in several rows is judged later, as its rows may be in different components
-                keep = (lo != hi)[row] | np.array([k.endswith("+") for k in b.column(0).to_pylist()])[row]
-                names = b.column(0).take(pa.array(row[keep]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(c[keep]), pa.array(ids[keep]), pa.array(b.column(2).flatten().to_numpy()[keep]), pa.array(b.column(3).flatten().to_numpy()[keep])], names=["group_key", "c", "id", "n", "role"])
+                split = np.array([k.endswith("+") for k in b.column(0).to_pylist()]) | (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))
+                row = np.repeat(np.arange(b.num_rows), size)
+                keep = split[row]
+                one = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), pa.array(c[keep]), pa.array(ids[keep]), pa.array(b.column(3).flatten().to_numpy()[keep]), pa.array(b.column(4).flatten().to_numpy()[keep])], names=["group_key", "times", "c", "id", "n", "role"])
 
-        return groups.select("group_key", "ids", "sizes", "roles").mapInArrow(run, "group_key string, c long, id long, n int, role int")
-    members = groups.select("group_key", F.explode(F.arrays_zip("ids", "sizes", "roles")).alias("m")).select("group_key", F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"), F.col("m.roles").alias("role"))
-    return members.join(components.withColumnRenamed("node", "id"), "id", "left").select("group_key", F.coalesce("component_id", "id").alias("c"), "id", "n", "role")
+        return groups.select("group_key", "times", "ids", "sizes", "roles").mapInArrow(run, "group_key string, times int, c long, id long, n long, role int")
+    members = groups.select("group_key", "times", F.explode(F.arrays_zip("ids", "sizes", "roles")).alias("m")).select("group_key", "times", F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"), F.col("m.roles").alias("role"))
+    return members.join(components.withColumnRenamed("node", "id"), "id", "left").select("group_key", "times", F.coalesce("component_id", "id").alias("c"), "id", "n", "role")
 
 
 def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links between different components c within groups (group_key, c, id, n, role): all pairs that sizes and roles allow are compared.
+    """Links between different components c within groups (group_key, times, c, id, n, role).
 
     Groups that share members, directly or over other groups, form a cluster; a cluster is one cell,
-    or, beyond TILE members, one cell for each two of its tiles that a group spans. A cell gets its
-    groups and each of its sets once, and pairs exist only as bits within it.
+    or, beyond TILE members, one cell for each two of its tiles that a group spans. A cell counts the
+    segments that each two of its members share. Two sets that differ in d elements differ in d
+    segments at most, so a pair with fewer equal segments than the larger set's segments less the
+    most differences allowed isn't similar. Only the sets of pairs that pass are sent, once a cell.
     """
     spark = docs.sparkSession
     least = members.groupBy("group_key").agg(F.min("id").alias("a"))
@@ -391,65 +397,88 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     spans = placed.where("tiles > 1").groupBy("group_key").agg(F.collect_set("tile").alias("others"))
     placed = placed.join(spans, "group_key", "left").withColumn("other", F.explode(F.coalesce("others", F.array(F.lit(0).cast("long")))))
     cell = F.concat_ws(":", "cluster", F.least("tile", "other"), F.greatest("tile", "other"))
-    placed = write_table(placed.select(cell.alias("cell"), "group_key", "id", "c", "n", "role"), "placed")
-    cells = placed.select("id", "cell").distinct().groupBy("id", F.pmod(F.xxhash64("cell"), F.lit(64)).alias("part")).agg(F.collect_list("cell").alias("cells"))
+    placed = placed.select(cell.alias("cell"), "group_key", "times", "id", "c", "n", "role").repartition(partitions(spark), "cell").sortWithinPartitions("cell", "group_key")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in by_cell(batches):
+            a, b = passing(rows)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(a)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
+
+    pairs = write_table(placed.mapInArrow(count, "cell string, a long, b long"), "passing")
+    cells = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("id", F.pmod(F.xxhash64("cell"), F.lit(64)).alias("part")).agg(F.collect_list("cell").alias("cells"))
     wanted = docs.join(small_or_whole(write_table(cells.drop("part"), "cells"), 256), "id").select("id", "cells", "text")
-    kinds = {"cell": pa.string(), "kind": pa.int32(), "group_key": pa.string(), "id": pa.int64(), "c": pa.int64(), "n": pa.int32(), "role": pa.int32(), "blob": pa.binary()}
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                rows = [(cell, doc_id, blob) for doc_id, to, text in zip(*(x.to_pylist() for x in b.columns)) for blob in [shingles(text).tobytes()] for cell in to]
-                m = len(rows)
-                held = {"cell": [r[0] for r in rows], "kind": [0] * m, "id": [r[1] for r in rows], "blob": [r[2] for r in rows]}
-                yield pa.RecordBatch.from_arrays([pa.array(held[k], kind) if k in held else pa.nulls(m, kind) for k, kind in kinds.items()], names=list(kinds))
+                rows = [(cell, doc_id, None, blob) for doc_id, to, text in zip(*(x.to_pylist() for x in b.columns)) for blob in [shingles(text).tobytes()] for cell in to]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["cell", "a", "b", "blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, rows = None, {}, []
-        for b in batches:
-            for row in zip(*(x.to_pylist() for x in b.columns)):
-                if row[0] != at:
-                    yield from linked(held, rows)
-                    at, held, rows = row[0], {}, []
-                if row[1] == 0:
-                    held.setdefault(row[3], []).append(np.frombuffer(row[7], U))
-                else:
-                    rows.append(row[2:7])
-        yield from linked(held, rows)
-
-    schema = "cell string, kind int, group_key string, id long, c long, n int, role int, blob binary"
-    sent = wanted.mapInArrow(sets, schema).unionByName(placed.select("cell", F.lit(1).alias("kind"), "group_key", "id", "c", "n", "role", F.lit(None).cast("binary").alias("blob")))
-    sent = sent.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "kind", "group_key")
-    return sent.mapInArrow(compare, "a long, b long")
+        for _, rows in by_cell(batches):
+            yield from linked([(r[1], np.frombuffer(r[3], U)) for r in rows if r[3] is not None], [r[1:3] for r in rows if r[3] is None])
 
+    sent = wanted.mapInArrow(sets, "cell string, a long, b long, blob binary").unionByName(pairs.withColumn("blob", F.lit(None).cast("binary")))
+    return sent.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
-def linked(held: dict[int, list[np.ndarray]], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """The links of one cell, from its sets by id and its groups' rows (group_key, id, c, n, role)."""
-    ids = sorted(held)
-    if len(ids) < 2:
-        return
-    place = {x: i for i, x in enumerate(ids)}
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]]]:
+    """Runs of rows with an equal first column."""
+    at, held = None, []
+    for b in batches:
+        for row in zip(*(x.to_pylist() for x in b.columns)):
+            if row[0] != at and held:
+                yield at, held
+                held = []
+            at = row[0]
+            held.append(row)
+    if held:
+        yield at, held
+
+
+def passing(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one cell's rows (cell, group_key, times, id, c, n, role), by group: the pairs that were asked for and share segments enough."""
+    ids, place = np.unique(np.array([r[3] for r in rows]), return_inverse=True)
+    packed = np.zeros(len(ids), np.int64)
+    packed[place] = [r[5] for r in rows]
+    c = np.zeros(len(ids), np.int64)
+    c[place] = [r[4] for r in rows]
+    role = np.array([r[6] for r in rows])
+    shared = np.zeros((len(ids), len(ids)), np.int32)
     wanted = np.zeros((len(ids), len(ids)), bool)
     lo = 0
     for hi in range(1, len(rows) + 1):
-        if hi < len(rows) and rows[hi][0] == rows[lo][0]:
-            continue
-        at, c, n, role = (np.array(x) for x in zip(*((place[r[1]], *r[2:]) for r in rows[lo:hi] if r[1] in place)))
-        i, j = np.nonzero((c[:, None] != c) & compatible(n[:, None], role[:, None], n, role))
-        wanted[np.minimum(at[i], at[j]), np.maximum(at[i], at[j])] = True
-        lo = hi
-    used = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
-    code = {i: k for k, i in enumerate(used)}
-    texts = [(i, s) for i in used for s in held[ids[i]]]  # more than one, if an id is repeated
-    if not texts:
+        if hi == len(rows) or rows[hi][1] != rows[lo][1]:
+            at, r = place[lo:hi], role[lo:hi]
+            shared[np.ix_(at, at)] += rows[lo][2]
+            i, j = np.nonzero(asked(r[:, None], r))
+            wanted[at[i], at[j]] = True
+            lo = hi
+    i, j = np.nonzero(np.triu(wanted | wanted.T, 1) & (c[:, None] != c))
+    n, k = packed & 0xFFFFFFFF, packed >> 32
+    least = np.minimum(np.where(n[i] >= n[j], k[i], k[j]), np.where(n[j] >= n[i], k[j], k[i])) - (n[i] + n[j]) // ALL
+    ok = near_sizes(n[i], n[j]) & (shared[i, j] >= least)
+    return ids[i[ok]], ids[j[ok]]
+
+
+def linked(sets: list[tuple[int, np.ndarray]], pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Those of a cell's pairs whose sets are similar; an id may have more than one set."""
+    if not sets or not pairs:
         return
-    _, codes = np.unique(np.concatenate([s for _, s in texts]), return_inverse=True)
-    owner, size = np.array([code[i] for i, _ in texts]), np.array([len(s) for _, s in texts])
+    sets = sorted(sets, key=lambda x: x[0])
+    owner, size = np.array([i for i, _ in sets]), np.array([len(s) for _, s in sets])
+    _, codes = np.unique(np.concatenate([s for _, s in sets]), return_inverse=True)
     ends = np.cumsum(size)
     flag = np.zeros(codes.max() + 1, bool)
-    a, b = [], []
-    for t, (i, s) in enumerate(texts):
-        partners = np.flatnonzero(wanted[i][used][owner])
+    a, b = np.array(pairs).T
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    found: tuple[list, list] = [], []
+    for t, (i, s) in enumerate(sets):
+        others = b[np.searchsorted(a, i) : np.searchsorted(a, i, side="right")]
+        partners = np.flatnonzero(np.isin(owner, others))
         if not len(partners):
             continue
         mine = codes[ends[t] - size[t] : ends[t]]
@@ -458,10 +487,10 @@ def linked(held: dict[int, list[np.ndarray]], rows: list[tuple]) -> Iterator[pa.
         shared = np.add.reduceat(flag[picked].astype(np.int64), np.r_[0, np.cumsum(size[partners])[:-1]])
         flag[mine] = False
         for p in partners[100 * shared >= 75 * (len(s) + size[partners] - shared)]:
-            a.append(ids[i])
-            b.append(ids[used[owner[p]]])
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found[0].append(i)
+            found[1].append(int(owner[p]))
+    if found[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
 
 def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -471,9 +500,8 @@ def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def by_every_shingle(docs: DataFrame, measured: DataFrame) -> DataFrame:
-    """Pairs for the sets whose segments don't give enough units: all sets of a fitting size that share a shingle with them."""
-    rest = measured.where("rest").select("id", "n")
+def by_every_shingle(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs of the sets in rest (id, n) with all sets of a fitting size that share a shingle with them."""
     lo, hi = rest.agg(F.min("n"), F.max("n")).first()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,7 +512,7 @@ def by_every_shingle(docs: DataFrame, measured: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array([len(s)] * len(s), pa.int64()), pa.array(s.view(np.int64))], names=["id", "n", "shingle"])
 
     every = write_table(docs.mapInArrow(tokens, "id long, n long, shingle long"), "shingles")
-    asking = every.join(small_or_whole(write_table(rest.distinct(), "rest"), 32), ["id", "n"], "left_semi").select(F.col("id").alias("x"), F.col("n").alias("xn"), "shingle")
+    asking = every.join(small_or_whole(rest, 32), ["id", "n"], "left_semi").select(F.col("id").alias("x"), F.col("n").alias("xn"), "shingle")
     met = every.join(asking, "shingle").where("id <> x and 4 * least(n, xn) >= 3 * greatest(n, xn)")
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
@@ -508,24 +536,28 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Measured rows (id, n), and links (a, b) that join every set with all sets similar to it, directly or over other links."""
     spark = ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    measured = write_table(d.mapInArrow(_measure, "id long, n long, set_key binary, rest boolean, shingle long, df long"), "measured")
+    measured = write_table(d.mapInArrow(_measure, "id long, n long, set_key binary, rest boolean, segments long, shingle long, df long"), "measured")
     rows = measured.where("shingle is null")
-    total, rest = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("rest").cast("int")), F.lit(0))).first()
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # sets with too few units, and ids that repeat, as a set's size and segments are then not the id's
+    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("k"), F.max("rest").alias("rest")).where("k > 1 or rest").select("id")
+    rest = write_table(rows.where("n > 0").join(repeated, "id", "left_semi").select("id", "n").distinct(), "rest")
     same = rows.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
     copies = rows.where("set_key is not null and id is not null").join(same, "set_key").where("id <> a").select("a", F.col("id").alias("b"))
 
     buckets = max(partitions(spark), int(total * 0.7 / 1_500_000) + 1)
     packed = d.mapInArrow(_packer(*heavy_shingles(measured), bucket_keys(spark, buckets)), "bucket long, sigs binary, places binary, ids binary, sizes binary")
-    met = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, only boolean, group_key string, ids array<long>, sizes array<int>, roles array<int>")
+    met = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, only boolean, group_key string, times int, ids array<long>, sizes array<long>, roles array<int>")
     met = write_table(met, "met")
     pairs = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("only").alias("only"))
-    if rest:
-        pairs = pairs.unionByName(by_every_shingle(d, rows).select("a", "b", F.lit(1).cast("long").alias("n"), F.lit(True).alias("only")))
     pairs = write_table(pairs, "candidates")
     links = write_table(copies, "similar")
+    if rest.limit(1).count():
+        links = links.unionByName(write_table(verified(d, write_table(by_every_shingle(d, rest), "rest")), "similar"))
     for _ in range(ROUNDS):
         pairs = write_table(apart(pairs, connected_components(links)), "candidates")
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+        # a hub met once or twice is hardly similar; such pairs are left to the count of all their segments
+        best = pairs.where(F.col("n") >= 3).groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
         best = write_table(best, "best")
         if not best.limit(1).count():
             break
@@ -533,10 +565,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.unionByName(write_table(verified(d, best), "similar"))
     found = write_table(connected_components(links), "components")
     members = split_groups(met.where("ids is not null"), found)
-    pair = apart(pairs.where("only").select("a", "b"), found).withColumn("group_key", F.concat_ws("-", "a", "b"))
-    sides = [pair.select("group_key", F.col(x).alias("id")) for x in ("a", "b")]
-    both = F.lit(INDEX | PROBE)
-    loose = sides[0].unionByName(sides[1]).join(found, F.col("id") == F.col("node"), "left").select("group_key", F.coalesce("component_id", "id").alias("c"), "id", F.lit(1).alias("n"), both.alias("role"))
+    # groups of two: they count as often as they were met, but sizes and segments come from the measured sets
+    pair = apart(pairs.where("only").select("a", "b", "n"), found).select("a", "b", F.least("n", F.lit(1 << 30)).cast("int").alias("times")).withColumn("group_key", F.concat_ws("-", "a", "b"))
+    sides = [pair.select("group_key", "times", F.col(x).alias("id")) for x in ("a", "b")]
+    sizes = rows.where("id is not null").groupBy("id").agg(F.min(F.col("n") + F.col("segments") * F.lit(1 << 32)).alias("packed"))
+    loose = sides[0].unionByName(sides[1]).join(found, F.col("id") == F.col("node"), "left").join(sizes.select("id", "packed"), "id")
+    loose = loose.select("group_key", "times", F.coalesce("component_id", "id").alias("c"), "id", F.col("packed").alias("n"), F.lit(INDEX | PROBE).alias("role"))
     members = write_table(members.unionByName(loose), "members")
     split = members.groupBy("group_key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("group_key")
     members = write_table(members.join(split, "group_key", "left_semi"), "members")
