@@ -42,7 +42,7 @@ from .components import connected_components
 N, ALL, TIMES = 5, 7, 3  # words in a shingle; similar sets share at least TIMES / ALL of the sum of their sizes
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 CHUNK, BLOCK = 4096, 512  # documents in a blob, and at a time in the kernels
-INDEX, PROBE = 1 << 14, 1 << 15
+UP, INDEX, PROBE = 1 << 13, 1 << 14, 1 << 15  # a signature of the next band; one that others find; one that looks for others
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
 TILE = 2048  # most members of a cluster in a tile
@@ -134,7 +134,7 @@ def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray)
         sums = np.add.reduceat(each, starts)
         tag = seg * _MIX1 + (band[owner] + up + 1).astype(U) * _MIX2
         full = mixed(sums + tag)
-        role = np.full(len(full), INDEX, np.uint16)
+        role = np.full(len(full), INDEX | UP * up, np.uint16)
         if not up:
             cost = np.ones(len(full))
             if len(heavy):
@@ -157,7 +157,7 @@ def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray)
         small = (n[doc] < DELETIONS_UNDER) & (np.repeat(sizes, sizes) > 1)
         if small.any():  # found by a set that lacks one element of a segment
             less = (np.repeat(sums + tag, sizes) - each)[small]
-            add(mixed(mixed(less) ^ _ODD), INDEX, doc[small])
+            add(mixed(mixed(less) ^ _ODD), INDEX | UP * up, doc[small])
     return np.concatenate(sigs), np.concatenate(roles), np.concatenate(docs), segments
 
 
@@ -227,15 +227,15 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's groups of equal signatures: pairs of groups of two, each member's likeliest hub in larger ones, and these groups, each list of ids once."""
+    """Of a bucket's groups of equal signatures: each member's likeliest hub, and the groups, each list of ids once."""
     sig, place, ids, sizes, bucket = [], [], [], [], 0
     for b in batches:
         for bucket, s, p, i, n in zip(*(c.to_pylist() for c in b.columns)):
             at = np.frombuffer(p, np.uint16)
-            doc = at & np.uint16(INDEX - 1)
+            doc = at & np.uint16(UP - 1)
             low, high = np.frombuffer(s, np.uint32, len(at)), np.frombuffer(s, np.uint8, len(at), 4 * len(at))
             sig.append(low.astype(U) << U(8) | high)
-            place.append(at & np.uint16(INDEX | PROBE))
+            place.append(at & np.uint16(UP | INDEX | PROBE))
             ids.append(np.frombuffer(i, np.int64)[doc])
             sizes.append(np.frombuffer(n, np.int64)[doc])
     if not sig:
@@ -257,33 +257,29 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.diff(np.r_[starts, len(s)])
     probed = np.repeat(np.bitwise_or.reduceat(role, starts) & PROBE != 0, count) if len(s) else np.empty(0, bool)
     n, k = n & 0xFFFFFFFF, n >> 32
-    hub, large = np.repeat(starts, count), np.repeat(count, count) > 2
-    fit = (doc != doc[hub]) & near_sizes(n[hub], n)
-    pairs, only = ([np.stack([doc[hub][x], doc[x]])] for x in (fit & large & probed & asked(role[hub], role), fit & ~large))
+    hub = np.repeat(starts, count)
+    fit = (doc != doc[hub]) & near_sizes(n[hub], n) & probed & asked(role[hub], role)
+    f = np.stack([doc[hub][fit], doc[fit]])
     # each list of ids and roles once: by two sums of hashes over the group
     keys = [np.add.reduceat(mixed(doc.view(U) * _ODD + role.astype(U) + U(salt)), starts) for salt in (1, 2)] if len(s) else [np.empty(0, U)] * 2
-    wanted = np.flatnonzero(count > 2)
+    wanted = np.flatnonzero(count > 1)
     _, once, times = np.unique(np.stack([keys[0][wanted], keys[1][wanted], count[wanted].astype(U)]), axis=1, return_index=True, return_counts=True)
     groups = [(f"{bucket}:{s[lo]}", doc[lo : lo + m], n[lo : lo + m] | k[lo : lo + m] << 32, role[lo : lo + m], t) for lo, m, t in zip(starts[wanted[once]].tolist(), count[wanted[once]].tolist(), times.tolist())]
-    names = ["a", "b", "n", "only", "group_key", "times", "ids", "sizes", "roles"]
+    names = ["a", "b", "n", "group_key", "times", "ids", "sizes", "roles"]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    for found, alone in ((pairs, False), (only, True)):
-        if not found or not (f := np.concatenate(found, axis=1)).shape[1]:
-            continue
+    if f.shape[1]:
         f = f[:, np.lexsort((f[0], f[1]))]
         first = np.flatnonzero(np.r_[True, (f[:, 1:] != f[:, :-1]).any(axis=0)])
         p, n_met = f[:, first], np.diff(np.r_[first, f.shape[1]])
-        if not alone:  # a member's likeliest hub here; the group itself is kept for the rest
-            best = np.lexsort((p[0], -n_met, p[1]))
-            best = best[np.r_[True, p[1][best][1:] != p[1][best][:-1]]]
-            p, n_met = p[:, best], n_met[best]
-        m = p.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n_met.astype(np.int64)), pa.array(np.full(m, alone)), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, longs), pa.nulls(m, longs), pa.nulls(m, ints)], names=names)
+        best = np.lexsort((p[0], -n_met, p[1]))  # a member's likeliest hub here; the groups are kept for the rest
+        best = best[np.r_[True, p[1][best][1:] != p[1][best][:-1]]]
+        p, n_met, m = p[:, best], n_met[best], len(best)
+        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n_met.astype(np.int64)), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, longs), pa.nulls(m, longs), pa.nulls(m, ints)], names=names)
     pieces = [(k + "+" * (len(d) > PIECE), t, d[i : i + PIECE], m[i : i + PIECE], r[i : i + PIECE].astype(np.int32)) for k, d, m, r, t in groups for i in range(0, len(d), PIECE)]
     for i in range(0, len(pieces), 1024):
         some = list(zip(*pieces[i : i + 1024]))
         m = len(some[0])
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())), pa.array(some[0], pa.string()), pa.array(some[1], pa.int32()), pa.array(some[2], longs), pa.array(some[3], longs), pa.array(some[4], ints)], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 3, pa.array(some[0], pa.string()), pa.array(some[1], pa.int32()), pa.array(some[2], longs), pa.array(some[3], longs), pa.array(some[4], ints)], names=names)
 
 
 def near_sizes(n: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -351,37 +347,77 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return sent.mapInArrow(compare, "a long, b long")
 
 
+GROUPS = "group_key string, times int, c array<long>, ids array<long>, sizes array<long>, roles array<int>"
+HELD = 2_000_000  # most components or entries that every task holds
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of groups with the row of each member, and where each row starts."""
+    for b in batches:
+        size = np.array([len(x) for x in b.column("ids")], np.int64)
+        yield b, np.repeat(np.arange(b.num_rows), size), np.r_[0, np.cumsum(size)[:-1]].astype(int)
+
+
+def regrouped(b: pa.RecordBatch, row: np.ndarray, keep: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """The groups of b with the members to keep; groups of one member go, unless they are stored in several rows."""
+    whole = np.array([k.endswith("+") for k in b.column("group_key").to_pylist()], bool)
+    n = np.bincount(row[keep], minlength=b.num_rows)
+    keep = keep & ((n > 1) | (whole & (n > 0)))[row]
+    n = np.bincount(row[keep], minlength=b.num_rows)
+    rows = pa.array(np.flatnonzero(n))
+    ends = pa.array(np.r_[0, np.cumsum(n[n > 0])].astype(np.int32))
+    values = [c, *(b.column(x).flatten().to_numpy() for x in ("ids", "sizes", "roles"))]
+    return pa.RecordBatch.from_arrays([b.column("group_key").take(rows), b.column("times").take(rows), *(pa.ListArray.from_arrays(ends, pa.array(v[keep])) for v in values)], names=["group_key", "times", "c", "ids", "sizes", "roles"])
+
+
 def split_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
-    """(group_key, times, c, id, n, role) of the groups whose members are in more than one component c.
+    """The groups whose members are in more than one component c, of their members those that can have a partner there.
 
-    If the components are few enough to be held by every task, groups are tested where they are
-    stored; otherwise their members are joined with the components.
+    A set that is similar to one of another component shares all but n / 3 of its segments with it;
+    so its entries go if too few of its segments, of one band, are in such groups. Components, and
+    then entries, are held by the tasks if they are few enough; otherwise groups are joined with the
+    components, and no entries go.
     """
-    held = 2_000_000
-    if components.limit(held + 1).count() <= held:
-        rows = components.orderBy("node").toPandas()
-        nodes, of = rows["node"].to_numpy(np.int64), rows["component_id"].to_numpy(np.int64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, size = b.column(2).flatten().to_numpy(), np.array([len(x) for x in b.column(2)], np.int64)
-                at = np.minimum(np.searchsorted(nodes, ids), max(0, len(nodes) - 1))
-                c = np.where(nodes[at] == ids, of[at], ids) if len(nodes) else ids
-                starts = np.r_[0, np.cumsum(size)[:-1]].astype(int)
-                # a group stored in several rows is judged later, as its rows may be in different components
-                split = np.array([k.endswith("+") for k in b.column(0).to_pylist()]) | (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))
-                row = np.repeat(np.arange(b.num_rows), size)
-                keep = split[row]
-                one = pa.array(row[keep])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), pa.array(c[keep]), pa.array(ids[keep]), pa.array(b.column(3).flatten().to_numpy()[keep]), pa.array(b.column(4).flatten().to_numpy()[keep])], names=["group_key", "times", "c", "id", "n", "role"])
-
-        return groups.select("group_key", "times", "ids", "sizes", "roles").mapInArrow(run, "group_key string, times int, c long, id long, n long, role int")
-    members = groups.select("group_key", "times", F.explode(F.arrays_zip("ids", "sizes", "roles")).alias("m")).select("group_key", "times", F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"), F.col("m.roles").alias("role"))
-    return members.join(components.withColumnRenamed("node", "id"), "id", "left").select("group_key", "times", F.coalesce("component_id", "id").alias("c"), "id", "n", "role")
-
-
-def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links between different components c within groups (group_key, times, c, id, n, role).
+    groups = groups.select("group_key", "times", "ids", "sizes", "roles")
+    if components.limit(HELD + 1).count() > HELD:
+        members = groups.select("group_key", "times", F.posexplode(F.arrays_zip("ids", "sizes", "roles")).alias("p", "m"), "ids")
+        joined = members.join(components, F.col("m.ids") == F.col("node"), "left").select("group_key", "times", F.col("ids")[0].alias("part"), F.struct(F.coalesce("component_id", "m.ids").alias("c"), "m.*").alias("m"))
+        packed = joined.groupBy("group_key", "times", "part").agg(F.collect_list("m").alias("m")).select("group_key", "times", "m.c", "m.ids", "m.sizes", "m.roles")
+        return packed.where(F.col("group_key").endswith("+") | (F.array_min("c") != F.array_max("c")))
+    held = components.orderBy("node").toPandas()
+    nodes, of = held["node"].to_numpy(np.int64), held["component_id"].to_numpy(np.int64)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, row, starts in sliced(batches):
+            ids = b.column("ids").flatten().to_numpy()
+            at = np.minimum(np.searchsorted(nodes, ids), max(0, len(nodes) - 1))
+            c = np.where(nodes[at] == ids, of[at], ids) if len(nodes) else ids
+            # a group stored in several rows is judged later, as its rows may be in different components
+            parted = np.array([k.endswith("+") for k in b.column("group_key").to_pylist()], bool) | (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))
+            yield regrouped(b, row, parted[row], c)
+
+    parted = write_table(groups.mapInArrow(split, GROUPS), "split")
+    entries = parted.select("times", F.explode(F.arrays_zip("ids", "sizes", "roles")).alias("m")).select("times", "m.ids", "m.sizes", (F.col("m.roles").bitwiseAND(UP) != 0).alias("up"))
+    counted = entries.groupBy("ids", "up").agg(F.sum("times").alias("k"), F.max("sizes").alias("packed"))
+    least = F.shiftright("packed", 32) - F.floor(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)) / 3)
+    gone = write_table(counted.where(F.col("k") < least).select("ids", "up"), "hopeless")
+    if gone.limit(HELD + 1).count() > HELD:
+        return parted
+    frame = gone.toPandas()
+    codes = np.sort(frame["ids"].to_numpy(np.int64) * 2 + frame["up"].to_numpy(np.int64))
+
+    def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, row, _ in sliced(batches):
+            code = b.column("ids").flatten().to_numpy() * 2 + (b.column("roles").flatten().to_numpy() & UP != 0)
+            at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+            yield regrouped(b, row, codes[at] != code if len(codes) else np.ones(len(code), bool), b.column("c").flatten().to_numpy())
+
+    parted = parted.mapInArrow(dropped, GROUPS)
+    return parted.where(F.col("group_key").endswith("+") | (F.array_min("c") != F.array_max("c")))
+
+
+def cross_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between different components within groups.
 
     Groups that share members, directly or over other groups, form a cluster; a cluster is one cell,
     or, beyond TILE members, one cell for each two of its tiles that a group spans. A cell counts the
@@ -390,14 +426,17 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     most differences allowed isn't similar. Only the sets of pairs that pass are sent, once a cell.
     """
     spark = docs.sparkSession
-    least = members.groupBy("group_key").agg(F.min("id").alias("a"))
-    clusters = write_table(connected_components(members.join(least, "group_key").select("a", F.col("id").alias("b")), node="id", component="cluster"), "clusters")
+    edges = groups.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).unionByName(groups.where(F.col("group_key").endswith("+")).groupBy("group_key").agg(F.min(F.array_min("ids")).alias("a"), F.collect_set(F.array_min("ids")).alias("b")).select("a", F.explode("b").alias("b")))
+    clusters = write_table(connected_components(edges, node="id", component="cluster"), "clusters")
     tiles = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    placed = members.join(clusters, "id").join(tiles, "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    spans = placed.where("tiles > 1").groupBy("group_key").agg(F.collect_set("tile").alias("others"))
-    placed = placed.join(spans, "group_key", "left").withColumn("other", F.explode(F.coalesce("others", F.array(F.lit(0).cast("long")))))
+    placed = groups.withColumn("id", F.array_min("ids")).join(clusters, "id").join(tiles, "cluster")
+    single = placed.where("tiles = 1 and not endswith(group_key, '+')").select(F.col("cluster").cast("string").alias("cell"), "times", "c", "ids", "sizes", "roles")
+    large = placed.where("tiles > 1 or endswith(group_key, '+')").select("cluster", "tiles", "group_key", "times", F.explode(F.arrays_zip("c", "ids", "sizes", "roles")).alias("m")).withColumn("tile", F.pmod(F.xxhash64("m.ids"), F.col("tiles")))
+    spans = large.groupBy("group_key").agg(F.collect_set("tile").alias("others"))
+    large = large.join(spans, "group_key").withColumn("other", F.explode("others"))
     cell = F.concat_ws(":", "cluster", F.least("tile", "other"), F.greatest("tile", "other"))
-    placed = placed.select(cell.alias("cell"), "group_key", "times", "id", "c", "n", "role").repartition(partitions(spark), "cell").sortWithinPartitions("cell", "group_key")
+    large = large.groupBy(cell.alias("cell"), "group_key", "times").agg(F.collect_list("m").alias("m")).select("cell", "times", "m.c", "m.ids", "m.sizes", "m.roles")
+    dealt = single.unionByName(large).repartition(partitions(spark), "cell").sortWithinPartitions("cell")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in by_cell(batches):
@@ -405,7 +444,7 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(a)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
 
-    pairs = write_table(placed.mapInArrow(count, "cell string, a long, b long"), "passing")
+    pairs = write_table(dealt.mapInArrow(count, "cell string, a long, b long"), "passing")
     cells = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("id", F.pmod(F.xxhash64("cell"), F.lit(64)).alias("part")).agg(F.collect_list("cell").alias("cells"))
     wanted = docs.join(small_or_whole(write_table(cells.drop("part"), "cells"), 256), "id").select("id", "cells", "text")
 
@@ -439,24 +478,21 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple
 
 
 def passing(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Of one cell's rows (cell, group_key, times, id, c, n, role), by group: the pairs that were asked for and share segments enough."""
-    ids, place = np.unique(np.array([r[3] for r in rows]), return_inverse=True)
-    packed = np.zeros(len(ids), np.int64)
-    packed[place] = [r[5] for r in rows]
-    c = np.zeros(len(ids), np.int64)
-    c[place] = [r[4] for r in rows]
-    role = np.array([r[6] for r in rows])
-    shared = np.zeros((len(ids), len(ids)), np.int32)
-    wanted = np.zeros((len(ids), len(ids)), bool)
+    """Of one cell's groups (cell, times, c, ids, sizes, roles): the pairs that were asked for and share segments enough."""
+    size = np.array([len(r[3]) for r in rows])
+    flat = [np.concatenate([np.asarray(r[x], np.int64) for r in rows]) for x in (2, 3, 4, 5)]
+    ids, place = np.unique(flat[1], return_inverse=True)
+    c, packed = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    c[place], packed[place] = flat[0], flat[2]
+    shared, wanted = np.zeros((len(ids), len(ids)), np.int32), np.zeros((len(ids), len(ids)), bool)
     lo = 0
-    for hi in range(1, len(rows) + 1):
-        if hi == len(rows) or rows[hi][1] != rows[lo][1]:
-            at, r = place[lo:hi], role[lo:hi]
-            shared[np.ix_(at, at)] += rows[lo][2]
-            i, j = np.nonzero(asked(r[:, None], r))
-            wanted[at[i], at[j]] = True
-            lo = hi
-    i, j = np.nonzero(np.triu(wanted | wanted.T, 1) & (c[:, None] != c))
+    for r, hi in zip(rows, np.cumsum(size)):
+        at, role = place[lo:hi], flat[3][lo:hi]
+        lo = hi
+        both = np.ix_(at, at)
+        shared[both] += r[1]
+        wanted[both] |= asked(role[:, None], role)
+    i, j = np.nonzero(np.triu(wanted, 1) & (c[:, None] != c))
     n, k = packed & 0xFFFFFFFF, packed >> 32
     least = np.minimum(np.where(n[i] >= n[j], k[i], k[j]), np.where(n[j] >= n[i], k[j], k[i])) - (n[i] + n[j]) // ALL
     ok = near_sizes(n[i], n[j]) & (shared[i, j] >= least)
@@ -547,9 +583,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     buckets = max(partitions(spark), int(total * 0.7 / 1_500_000) + 1)
     packed = d.mapInArrow(_packer(*heavy_shingles(measured), bucket_keys(spark, buckets)), "bucket long, sigs binary, places binary, ids binary, sizes binary")
-    met = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, only boolean, group_key string, times int, ids array<long>, sizes array<long>, roles array<int>")
+    met = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, group_key string, times int, ids array<long>, sizes array<long>, roles array<int>")
     met = write_table(met, "met")
-    pairs = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("only").alias("only"))
+    pairs = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = write_table(pairs, "candidates")
     links = write_table(copies, "similar")
     if rest.limit(1).count():
@@ -564,18 +600,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = pairs.join(best, ["a", "b"], "left_anti")
         links = links.unionByName(write_table(verified(d, best), "similar"))
     found = write_table(connected_components(links), "components")
-    members = split_groups(met.where("ids is not null"), found)
-    # groups of two: they count as often as they were met, but sizes and segments come from the measured sets
-    pair = apart(pairs.where("only").select("a", "b", "n"), found).select("a", "b", F.least("n", F.lit(1 << 30)).cast("int").alias("times")).withColumn("group_key", F.concat_ws("-", "a", "b"))
-    sides = [pair.select("group_key", "times", F.col(x).alias("id")) for x in ("a", "b")]
-    sizes = rows.where("id is not null").groupBy("id").agg(F.min(F.col("n") + F.col("segments") * F.lit(1 << 32)).alias("packed"))
-    loose = sides[0].unionByName(sides[1]).join(found, F.col("id") == F.col("node"), "left").join(sizes.select("id", "packed"), "id")
-    loose = loose.select("group_key", "times", F.coalesce("component_id", "id").alias("c"), "id", F.col("packed").alias("n"), F.lit(INDEX | PROBE).alias("role"))
-    members = write_table(members.unionByName(loose), "members")
-    split = members.groupBy("group_key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("group_key")
-    members = write_table(members.join(split, "group_key", "left_semi"), "members")
-    if members.limit(1).count():
-        links = links.unionByName(write_table(cross_links(d, members), "similar"))
+    groups = met.where("ids is not null").select("group_key", "times", "ids", "sizes", "roles")
+    groups = write_table(split_groups(groups, found), "groups")
+    if groups.limit(1).count():
+        links = links.unionByName(write_table(cross_links(d, groups), "similar"))
     return rows, links
 
 
