@@ -45,7 +45,7 @@ CHUNK, BLOCK = 4096, 512  # documents in a blob, and at a time in the kernels
 UP, INDEX, PROBE = 1 << 13, 1 << 14, 1 << 15  # a signature of the next band; one that others find; one that looks for others
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
-TILE = 2048  # most members of a cluster in a tile
+TILE = 512  # most members of a cluster in a tile
 PIECE = 4096  # most members of a group in a row
 ROUNDS = 2  # of verifying each member with its likeliest hub
 
@@ -353,7 +353,7 @@ HELD = 2_000_000  # most components or entries that every task holds
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches of groups with the row of each member, and where each row starts."""
-    for b in batches:
+    for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
         size = np.array([len(x) for x in b.column("ids")], np.int64)
         yield b, np.repeat(np.arange(b.num_rows), size), np.r_[0, np.cumsum(size)[:-1]].astype(int)
 
@@ -466,13 +466,13 @@ def cross_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]]]:
     """Runs of rows with an equal first column."""
     at, held = None, []
-    for b in batches:
+    for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         for row in zip(*(x.to_pylist() for x in b.columns)):
             if row[0] != at and held:
                 yield at, held
                 held = []
             at = row[0]
-            held.append(row)
+            held.append(tuple(np.array(x, np.int64) if isinstance(x, list) else x for x in row))
     if held:
         yield at, held
 
