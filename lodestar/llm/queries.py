@@ -117,9 +117,33 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+   WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+ r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT p.x, r.c FROM p JOIN r ON p.y = r.vec_id),
+ m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), k AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN m ON e.vec_id = m.vec_id LEFT JOIN k ON e.vec_id = k.x
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM i),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+ r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.x, r.c FROM l JOIN r ON l.y = r.doc_id),
+ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d JOIN m ON d.doc_id = m.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_substring_dedup, op5_url_lists, op6_jaccard_join, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_lists": OP5_SQL, "op9_decontamination": contamination.ORACLE}
+    return {"op1_embedding_dedup": OP1_SQL, "op5_url_lists": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_decontamination": contamination.ORACLE}
