@@ -210,7 +210,7 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
             sets.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "sigs", "places", "ids", "sizes"])
 
-        for b in batches:
+        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(text)
                 if not len(s) or doc_id is None or (k := xxhash.xxh3_128_digest(s.tobytes())) in seen:
@@ -222,6 +222,7 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
                     yield packed()
         if ids:
             yield packed()
+        _WORDS.clear()  # the worker goes on to other tasks
 
     return run
 

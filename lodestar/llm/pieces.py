@@ -29,7 +29,8 @@ from .common import ship, tokenizer_path
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-KEEP_UNITS, KEEP_PAIRS, KEEP_LENGTH = 600_000, 2_000_000, 32
+KEEP_UNITS, KEEP_PAIRS, KEEP_LENGTH = 500_000, 1_000_000, 32
+ROWS = 512  # encoded at a time, so that a batch's ids aren't all held
 
 
 class PieceCodec:
@@ -49,7 +50,8 @@ class PieceCodec:
             raise ValueError("pieces must be made of single-character pieces, with spaces only in front")
         self.side_by_side = {x[i : i + 2] for x in self.id for i in range(len(x) - 1)}
         self.pairs: dict[int, bool] = {}
-        self.units: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.units: dict[str, tuple[int, ...]] = {}
+        self.number = [str(i) for i in range(len(self.piece))]
         self.automaton = ahocorasick.Automaton()
         for x, i in self.id.items():
             if self.merged(x) == [x]:  # others never come out of merging
@@ -117,28 +119,26 @@ class PieceCodec:
         out.append(word[at:])
         return out
 
-    def looked_up(self, unit: str) -> tuple[tuple[int, ...], str]:
+    def looked_up(self, unit: str) -> tuple[int, ...]:
         if (known := self.units.get(unit)) is None:
             parts = (unit,) if unit[1:].isalpha() and len(unit) < KEEP_LENGTH else self.cut(unit)
             if len(parts) == 1:
-                ids = tuple(self.unit_ids(unit))
+                known = tuple(self.unit_ids(unit))
             else:
-                ids = tuple(i for x in parts for i in self.looked_up(x)[0])
-            known = (ids, ",".join(map(str, ids)))
+                known = tuple(i for x in parts for i in self.looked_up(x))
             if len(unit) <= KEEP_LENGTH:
                 if len(self.units) >= KEEP_UNITS:
                     self.units.clear()
                 self.units[unit] = known
         return known
 
-    def found(self, text: str | None) -> list[tuple[tuple[int, ...], str]]:
-        if not text:
-            return []
-        units, more = self.units, self.looked_up
-        return [units.get(u) or more(u) for u in UNIT.findall(SPACE + text.replace(" ", SPACE))]
-
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _ in self.found(text) for i in ids]
+        out: list[int] = []
+        if text:
+            units, more = self.units, self.looked_up
+            for u in UNIT.findall(SPACE + text.replace(" ", SPACE)):
+                out += units.get(u) or more(u)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
@@ -162,13 +162,12 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             n, shas, decoded, every = [], [], [], []
             for text in b.column(0).to_pylist():
-                found = c.found(text)
-                ids = [i for x, _ in found for i in x]
+                ids = c.encode(text)
                 n.append(len(ids))
-                shas.append(hashlib.sha256(",".join([s for _, s in found]).encode()).hexdigest())
+                shas.append(hashlib.sha256(",".join([c.number[i] for i in ids]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
                 if with_ids:
                     every.append(pa.array(ids, pa.int32()))
