@@ -4,13 +4,17 @@
    vectors (every member closer to the pivot than half the linking angle) become one item as well,
    round by round: all members of a ball link with each other, so a large group of copies shrinks
    to a few pivots and is never expanded into pairs.
-2. Items go to overlapping regions of bounded size: clusters fitted on a bounded sample of each cell,
-   refined level by level, each item in its two nearest ones.
-3. In each region, overlapping cluster shards are linked by robust pruning, their adjacency lists
-   are united, and every item (searched for from the region it is nearest to) is looked for from the
+2. Items are at home in regions of bounded size: clusters fitted on a bounded sample of each cell,
+   refined level by level, the nearest one each. An item also visits every region whose boundary lies
+   within the linking angle of it, so that all its partners are met in its home. A cell whose items
+   would visit most of its clusters isn't split.
+3. Regions that are larger than intended, visitors included, are searched exactly: home items meet
+   all items in tiles; links are counted where they are met, and only a spanning forest is kept.
+4. In each other region, overlapping cluster shards are linked by robust pruning, their adjacency lists
+   are united, and every item (searched for in its home) is looked for from the
    shards' medoids and from its own node: a beam descends greedily, then every node within range is
    expanded until no new one appears.
-4. Found pairs are decided exactly: by the cosine in double precision for single vectors; for balls by
+5. Found pairs are decided exactly: by the cosine in double precision for single vectors; for balls by
    the triangle inequality, and member by member, in blocks, where that leaves it open.
 
 audit() measures recall against all vectors, for the queries whose id is divisible by `every`.
@@ -38,7 +42,8 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class Settings:
-    """cosine: least cosine of a link. Chunk, region and shard: most or intended rows in each. sample: rows that a cell's clusters are fitted on."""
+    """cosine: least cosine of a link. Chunk, region, shard and tile: most or intended rows in each. sample: rows that a cell's clusters
+    are fitted on. crowd: a cell is split only if its items visit at most this share of its clusters on average."""
 
     cosine: float = 0.93
     chunk: int = 2048
@@ -52,6 +57,8 @@ class Settings:
     alpha: float = 1.2
     beam: int = 16
     block: int = 512
+    tile: int = 8192
+    crowd: float = 0.25
 
     @property
     def angle(self) -> float:
@@ -147,42 +154,57 @@ def two_nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.stack([first, sims.argmax(axis=1)], axis=1)
 
 
+def visited(x: np.ndarray, slack: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which clusters may be nearest to a vector within slack (an angle) of each row: those whose half-spaces all lie as near."""
+    sims, reach = x @ c.T, np.sin(np.minimum(slack, math.pi / 2))[:, None]
+    out = np.ones(sims.shape, bool)
+    for j in range(len(c)):
+        out &= sims[:, j, None] - sims <= reach * np.sqrt(((c[j] - c) ** 2).sum(axis=1)) + 1e-9
+    return out
+
+
 def regions(items: DataFrame, s: Settings) -> DataFrame:
-    """Items by cell, each in two cells of every level, home where it is nearest; cells over s.region are split while that helps."""
+    """Items by cell, each at home in one and a visitor to all others that may be home to a partner; cells over s.region are split while that helps."""
     cells = items.withColumn("cell", F.col("label")).withColumn("home", F.lit(True)).withColumn("final", F.lit(False))
+    widest = items.agg(F.coalesce(F.max("radius"), F.lit(0.0))).first()[0]
     for level in range(s.levels):
-        counts = cells.where(~F.col("final")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > s.region)
+        counts = cells.where("home and not final").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > s.region)
         counts = write_table(counts, "cells")
         if not counts.limit(1).count():
             break
         side = small_or_whole(counts, 64)
-        drawn = cells.where(~F.col("final")).join(side, "cell").where(F.pmod(F.xxhash64("item", F.lit(level)), F.col("n")) < s.sample)
+        drawn = cells.where("home and not final").join(side, "cell").where(F.pmod(F.xxhash64("item", F.lit(level)), F.col("n")) < s.sample)
 
         def fitted(table: pa.Table) -> pa.Table:
-            n = table["n"][0].as_py()
-            c = kmeans(matrix(table["unit"]), min(64, max(2, -(-n // s.region) * 2)))
-            return pa.table({"cell": pa.array([table["cell"][0].as_py()]), "k": pa.array([len(c)], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())})
+            n, x = table["n"][0].as_py(), matrix(table["unit"])
+            c = kmeans(x, min(64, max(2, -(-n // s.region) * 2)))
+            fine = visited(x, s.angle + table["radius"].to_numpy() + widest, c).mean() <= s.crowd
+            return pa.table({"cell": pa.array([table["cell"][0].as_py()]), "k": pa.array([len(c)], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())}).slice(0, int(fine))
 
-        centroids = write_table(drawn.select("cell", "unit", "n").groupBy("cell").applyInArrow(fitted, "cell string, k int, centroids binary"), "centroids")
+        centroids = write_table(drawn.select("cell", "unit", "radius", "n").groupBy("cell").applyInArrow(fitted, "cell string, k int, centroids binary"), "centroids")
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
                 cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
                 cell, home, final, index = [], [], [], []
-                known: dict[str, np.ndarray] = {}
-                for i, (at, k, blob, unit, is_home) in enumerate(zip(*(cols[n].to_pylist() for n in ("cell", "k", "centroids", "unit", "home")))):
-                    if blob is None:
-                        index.append(i)
-                        cell.append(at)
-                        home.append(is_home)
-                        final.append(True)
+                names, homes, blobs = (cols[n].to_pylist() for n in ("cell", "home", "centroids"))
+                by_cell: dict[str, list[int]] = {}
+                for i, at in enumerate(names):
+                    by_cell.setdefault(at, []).append(i)
+                for at, rows in by_cell.items():
+                    if blobs[rows[0]] is None:
+                        index += rows
+                        cell += [at] * len(rows)
+                        home += [homes[i] for i in rows]
+                        final += [True] * len(rows)
                         continue
-                    if at not in known:
-                        known[at] = np.frombuffer(blob, float).reshape(k, -1)
-                    for rank, j in enumerate(two_nearest(np.frombuffer(unit, float)[None], known[at])[0]):
-                        index.append(i)
+                    x = matrix(cols["unit"].take(pa.array(rows)))
+                    c = np.frombuffer(blobs[rows[0]], float).reshape(-1, x.shape[1])
+                    nearest = (x @ c.T).argmax(axis=1)
+                    for i, j in zip(*np.nonzero(visited(x, s.angle + cols["radius"].to_numpy()[rows] + widest, c))):
+                        index.append(rows[i])
                         cell.append(f"{at}/{j}")
-                        home.append(is_home and rank == 0)
+                        home.append(bool(homes[rows[i]] and nearest[i] == j))
                         final.append(False)
                 rows = b.take(pa.array(index, pa.int64()))
                 kept = [rows.column(rows.schema.get_field_index(n)) for n in ("item", "label", "unit", "radius", "size")]
@@ -304,7 +326,7 @@ def found_pairs(cells: DataFrame, s: Settings) -> DataFrame:
     """Pairs of items (a < b) that link as a whole (whole), or may link in part."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.group_by("item").aggregate([("unit", "min"), ("radius", "min"), ("home", "max")])  # twice here if both nearest cells are one
+        table = table.group_by("item").aggregate([("unit", "min"), ("radius", "min"), ("home", "max")])
         ids, x, radius = table["item"].to_numpy(), matrix(table["unit_min"]), table["radius_min"].to_numpy()
         order = np.argsort(ids)
         ids, x, radius, home = ids[order], x[order], radius[order], table["home_max"].to_numpy(zero_copy_only=False)[order]
@@ -324,6 +346,70 @@ def found_pairs(cells: DataFrame, s: Settings) -> DataFrame:
     return cells.select("cell", "item", "unit", "radius", "home").groupBy("cell").applyInArrow(run, "a long, b long, whole boolean").groupBy("a", "b").agg(F.max("whole").alias("whole"))
 
 
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a matrix of links: (row, linked column) and (row, row of its component) that keep what is connected connected."""
+    rows, cols, tied, other = [], [], [], []
+    fresh, open_cols = near.any(axis=1), np.ones(near.shape[1], bool)
+    for r in np.flatnonzero(fresh):
+        if not fresh[r]:
+            continue
+        fresh[r], frontier = False, np.array([r])
+        while len(frontier):
+            met = np.flatnonzero(near[frontier].any(axis=0) & open_cols)
+            open_cols[met] = False
+            frontier = np.flatnonzero(near[:, met].any(axis=1) & fresh)
+            fresh[frontier] = False
+            rows.append(np.full(len(met), r))
+            cols.append(met)
+            tied.append(np.full(len(frontier), r))
+            other.append(frontier)
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, cols, tied, other))
+
+
+def met_exactly(cells: DataFrame, crowded: DataFrame, s: Settings) -> DataFrame:
+    """Of crowded cells, every home item against every item: (a, null, n): n vectors link as wholes with a; (a, b, null): links
+    that connect what is connected; (a, b, 0): pairs that may link in part."""
+    side = crowded.select("cell", F.ceil(F.col("homes") / s.tile).alias("his"), F.ceil(F.col("n") / s.tile).alias("los"))
+    rows = cells.join(side, "cell").select("cell", "item", "unit", "radius", "size", "home", "his", "los")
+    part = lambda n: F.pmod(F.xxhash64("item"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = rows.where("home").withColumn("i", part("his")).withColumn("j", every("los")).withColumn("asks", F.lit(True))
+    told = rows.withColumn("j", part("los")).withColumn("i", every("his")).withColumn("asks", F.lit(False))
+    dealt = asks.unionByName(told).select("cell", "i", "j", "item", "unit", "radius", "size", "asks")
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        ids, x, radius, size = table["item"].to_numpy(), matrix(table["unit"]), table["radius"].to_numpy(), table["size"].to_numpy()
+        p, q = np.flatnonzero(asks), np.flatnonzero(~asks)
+        near = np.zeros((len(p), len(q)), bool)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo in range(0, len(p), 256):
+            m = p[lo : lo + 256]
+            c = x[m] @ x[q].T
+            for i, j in zip(*np.nonzero(np.abs(c - s.cosine) < 1e-12)):
+                c[i, j] = np.einsum("i,i->", x[m[i]], x[q[j]])
+            sure = c >= s.cosine
+            if radius[m].any() or radius[q].any():
+                reach, angle = radius[m][:, None] + radius[q], np.arccos(np.clip(c, -1, 1))
+                sure = np.where(reach == 0, sure, angle + reach <= s.angle - 1e-9)
+                i, j = np.nonzero(~sure & (reach > 0) & (angle <= s.angle + reach + 1e-9) & (ids[m][:, None] != ids[q]))
+                a.append(ids[m[i]])
+                b.append(ids[q[j]])
+            near[lo : lo + 256] = sure & (ids[m][:, None] != ids[q])
+        total = near @ size[q]
+        r, k, t, o = spanning(near)
+        ties_a, ties_b = ids[p[np.r_[r, t]]], ids[np.r_[q[k], p[o]]]
+        a, b, some = np.concatenate(a), np.concatenate(b), np.flatnonzero(total)
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.concat_tables([
+            pa.table({"a": ids[p[some]], "b": none(len(some)), "n": total[some].astype(np.int64)}),
+            pa.table({"a": ties_a, "b": ties_b, "n": none(len(ties_a))}),
+            pa.table({"a": a, "b": b, "n": np.zeros(len(a), np.int64)}),
+        ])
+
+    return dealt.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long, n long")
+
+
 def by_member(pairs: DataFrame, members: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
     """For pairs (a, b) of balls, in both directions: each member id of a, with b and how many of b's members it links with."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -366,13 +452,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if n > 0.95 * before or not counts.where(F.col("n") > s.chunk).limit(1).count():
             break
     owners = write_table(owners, "owners")
-    pairs = write_table(found_pairs(regions(items, s), s), "pairs")
+    cells = regions(items, s)
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where((F.col("n") > 2 * s.region) & (F.col("homes") > 0))
+    crowded = small_or_whole(write_table(crowded, "crowded"), 128)
+    exact = write_table(met_exactly(cells, crowded, s), "exact")
+    pairs = write_table(found_pairs(cells.join(crowded, "cell", "left_anti"), s), "pairs")
+    counted = cells.where("home").join(crowded, "cell", "left_semi").select("item")
     sizes = items.select("item", "size")
     whole = pairs.where("whole")
     partner = whole.select(F.col("a").alias("item"), F.col("b").alias("other")).unionByName(whole.select(F.col("b").alias("item"), F.col("a").alias("other")))
+    partner = partner.join(counted, "item", "left_anti")
     by_item = partner.join(sizes.withColumnRenamed("item", "other"), "other").groupBy("item").agg(F.sum("size").alias("n_whole"))
-    part = write_table(by_member(pairs.where("not whole"), owners, sizes, s), "parts")
-    links = whole.select("a", "b").unionByName(part.join(owners.select("id", "item"), "id").select(F.col("item").alias("a"), "b"))
+    by_item = by_item.unionByName(exact.where("b is null").groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("n_whole")))
+    open_pairs = exact.where("n = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_pairs = pairs.where("not whole").select("a", "b").unionByName(open_pairs).distinct()
+    part = write_table(by_member(open_pairs, owners, sizes, s), "parts")
+    links = whole.select("a", "b").unionByName(exact.where("b is not null and n is null").select("a", "b")).unionByName(part.join(owners.select("id", "item"), "id").select(F.col("item").alias("a"), "b"))
     component = connected_components(links).withColumnRenamed("node", "item")
     linked = owners.select("id", "item").join(sizes, "item").join(by_item, "item", "left").join(component, "item", "left")
     linked = linked.join(part.groupBy("id").agg(F.sum("n").alias("n_part")), "id", "left")

@@ -88,6 +88,36 @@ def test_vectors_equal_brute_force(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("settings, n", [(neighbours.Settings(), 3500), (neighbours.Settings(chunk=64, region=60, shard=24, ball=6, tile=100), 400)])
+def test_partners_are_not_capped_by_regions(spark, settings, n):
+    rng = np.random.default_rng(6)
+    tight = rng.normal(size=64) + rng.normal(size=(n, 64)) * 0.217  # cosine about 0.955, far from any pivot's ball
+    groups = np.repeat(rng.normal(size=(40, 64)), 30, axis=0) + rng.normal(size=(1200, 64)) * 0.26
+    x = np.concatenate([tight, groups, np.repeat(rng.normal(size=(3, 64)), 40, axis=0) + rng.normal(size=(120, 64)) * 0.05])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= settings.cosine
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())]
+    out = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4), settings=settings)
+    got = {r["vec_id"]: r for r in out.collect()}
+    true = near.sum(axis=1) - 1
+    assert all(got[i]["n_links"] <= true[i] for i in got)
+    assert sum(r["n_links"] for r in got.values()) >= 0.999 * true.sum()
+    of, before = np.arange(len(x)), None
+    while before is None or (of != before).any():
+        of, before = np.where(near, of, len(x)).min(axis=1), of
+    assert np.mean([got[i]["component_id"] == of[i] for i in got]) > 0.99
+
+
+def test_spanning_links_keep_components():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        near = rng.random((rng.integers(1, 30), rng.integers(1, 30))) < 0.06
+        m, links = len(near), [(int(i), int(j) + len(near)) for i, j in zip(*np.nonzero(near))]
+        r, c, t, o = (x.tolist() for x in neighbours.spanning(near))
+        nodes = range(m + near.shape[1])
+        assert components(nodes, links) == components(nodes, [*zip(r, [x + m for x in c]), *zip(t, o)])
+
+
 def test_balls_are_cliques():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 12)) * 0.1 + rng.normal(size=12)
