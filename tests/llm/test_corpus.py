@@ -230,6 +230,29 @@ def test_passages_are_found_and_clean_texts_left_alone(documents):
     assert passages.repeated_passages(documents([(1, shared)]).limit(0)).count() == 0
 
 
+def test_passages_of_phrases_that_others_hold_first(documents):
+    rng = random.Random(9)
+    rows, want = {}, set()
+    for case in range(20):
+        phrases = [prose(rng, rng.choice([10, 12, 14])) for _ in range(6)]
+        for i, phrase in enumerate(phrases):  # first seen in a document of its own
+            rows[case * 10 + i] = f"{prose(rng, 40)} {phrase} {prose(rng, 40)}"
+        for i in (1000, 2000):
+            want.add(i + case)
+            rows[i + case] = f"{prose(rng, 90)} {' '.join(phrases)} {prose(rng, 90)}"
+    got = {r["doc_id"] for r in passages.repeated_passages(documents(list(rows.items()))).collect()}
+    assert got == want
+
+
+def test_later_holders_of_a_seed_are_paired_with_neighbours():
+    keys, seed = np.arange(1, dtype=np.int64), np.uint32([7]).tobytes()
+    doc, at = np.int64([1, 2, 3, 4]), np.int32([5, 6, 7, 8])
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), *(pa.array([x], pa.binary()) for x in (seed * 4, np.arange(4, dtype=np.uint16).tobytes(), at.tobytes(), doc.tobytes()))], names=["bucket", "hashes", "places", "at", "ids"])
+    (made,) = passages._stars(keys)(iter([batch]))
+    d, o = (np.frombuffer(made.column(i)[0].as_py(), np.int64).tolist() for i in (1, 2))
+    assert sorted(zip(d, o)) == [(1, 2), (2, 1), (2, 3), (3, 1), (3, 2), (3, 4), (4, 1), (4, 3)]
+
+
 def test_chains_are_best_by_brute_force():
     rng = random.Random(9)
     s = passages.Settings()
