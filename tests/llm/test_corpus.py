@@ -230,6 +230,18 @@ def test_passages_are_found_and_clean_texts_left_alone(documents):
     assert passages.repeated_passages(documents([(1, shared)]).limit(0)).count() == 0
 
 
+def test_fuzzy_passages_are_found(documents):
+    rng = random.Random(10)
+    rows = {}
+    for case in range(60):
+        words, every = prose(rng, 60).split(), 8 + case % 3
+        changed = [f"x{case}.{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+        for i, body in ((case, words), (1000 + case, changed)):
+            rows[i] = f"{prose(rng, 60)} {' '.join(body)} {prose(rng, 60)}"
+    got = {r["doc_id"] for r in passages.repeated_passages(documents(list(rows.items()))).collect()}
+    assert got <= set(rows) and len(got) >= 0.97 * len(rows)
+
+
 def test_passages_of_phrases_that_others_hold_first(documents):
     rng = random.Random(9)
     rows, want = {}, set()
