@@ -3,7 +3,8 @@
 A candidate is a long run of key-like characters with a sensitive word close by. Its novelty is
 what it adds, in compressed bytes per character, to a zstandard frame whose dictionary holds
 common identifiers and the text around the candidate: a name that the surroundings explain costs
-little, a random string costs about its own length.
+little, a random string costs about its own length. Long candidates are weighed in slices that are too
+short for zstandard to code by the frequency of letters, so that their length makes no difference.
 
 Defined results: a null text counts as empty and has no spans; an empty table gives an empty
 result; repeated rows each give their own row; a null id stays null; other columns are ignored.
@@ -51,14 +52,24 @@ IDENTIFIERS = (
 )
 PRIMED = (IDENTIFIERS + IDENTIFIERS.title()).encode()
 
+#: Zstandard codes 64 literals or more by frequency; a slice stays below. Earlier slices are context as far back as EARLIER.
+SLICE = 60
+EARLIER = 4096
 
-@lru_cache(maxsize=4096)
-def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes per byte of candidate, given identifiers and the text around it."""
+
+def added(part: str, around: str) -> int:
+    """Marginal compressed bytes of part, given identifiers and the text around it."""
     primed = zstandard.ZstdCompressionDict(PRIMED + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    raw = candidate.encode()
-    return (len(press.compress(raw)) - len(press.compress(b""))) / len(raw)
+    return len(press.compress(part.encode())) - len(press.compress(b""))
+
+
+@lru_cache(maxsize=4096)
+def novelty(candidate: str, around: str) -> float:
+    """Marginal compressed bytes per byte of candidate, slice by slice."""
+    n = len(candidate)
+    cuts = [n * i // -(-n // SLICE) for i in range(-(-n // SLICE) + 1)]
+    return sum(added(candidate[a:b], around + candidate[max(0, a - EARLIER) : a]) for a, b in zip(cuts, cuts[1:])) / n
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
