@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
-A candidate is a long run of key-like characters with a sensitive word close by. Its novelty is
+A candidate is a long run of key-like characters, or the long value after a name and '=' in one, with
+a sensitive word close by: in its name, before or after it. Its novelty is
 what it adds, in compressed bytes per character, to a zstandard frame whose dictionary holds
 common identifiers and the text around the candidate: a name that the surroundings explain costs
 little, a random string costs about its own length. Long candidates are weighed in slices that are too
@@ -35,6 +36,7 @@ ACCESS_MIN = 18
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+NAMES = re.compile(r"(?:[A-Za-z_][A-Za-z0-9_.-]*=+)+(?=[^=]{16,}=*$)")
 SENSITIVE = re.compile(r"(?ai:auth|bearer|cert|cookie|cred|key|login|pass|private|pwd|secret|session|sign|token)")
 
 #: Words that program text uses for names; candidates built from them are cheap to compress.
@@ -84,11 +86,13 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], context: int = 256
     """Spans that the fixed patterns miss: digits and letters mixed, a sensitive word near, nearly incompressible."""
     found = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m[0]
+        start, e = m.span()
+        named = NAMES.match(m[0])
+        s = start + named.end() if named else start
+        word = text[s:e]
         if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
             continue
-        if any(a < e and s < b for a, _, b in taken) or not SENSITIVE.search(text, max(0, s - near), s):
+        if any(a < e and s < b for a, _, b in taken) or not (SENSITIVE.search(text, max(0, min(start, s - near)), s) or SENSITIVE.search(text, e, e + near)):
             continue
         if novelty(word, text[max(0, s - context) : s] + " " + text[e : e + context]) >= least:
             found.append((s, 3, e))
