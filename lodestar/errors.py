@@ -23,3 +23,7 @@ class ResourceExhausted(CollectionError):
 
 class Conflict(CollectionError):
     """Another writer committed the same version first; nothing of this write is visible."""
+
+
+class Corrupt(CollectionError):
+    """What was stored isn't what was to be stored; nothing of it is visible."""

@@ -1,11 +1,11 @@
-"""Checks of keys and vectors, and the first violation by order of arrival."""
+"""Checks of keys and vectors."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -24,22 +24,12 @@ def is_finite(embedding: Column) -> Column:
     return F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def violation(key: Column, embedding: Column, dimension: int) -> Column:
-    """What is wrong first: key, dimension, then finiteness; null if nothing is."""
-    return (
-        F.when(~has_key(key), F.lit("key is required"))
-        .when(~F.coalesce(has_dimension(embedding, dimension), F.lit(False)), F.lit(f"embedding must have {dimension} components"))
-        .when(~is_finite(embedding), F.lit("embedding must be finite"))
-    )
-
-
-def check_rows(rows: DataFrame, dimension: int, ordinal: str = "ordinal") -> int:
-    """Number of rows; raises for the first row in order that violates a rule. One pass."""
-    found = rows.select(F.col(ordinal).alias("o"), violation(F.col("key"), F.col("embedding"), dimension).alias("v"))
-    n, first = found.agg(F.count("*"), F.min_by(F.struct("o", "v"), F.when(F.col("v").isNotNull(), F.col("o")))).first()
-    if first is not None:
-        raise InvalidArgument(f"item {first['o']}: {first['v']}")
-    return n
+def violation(key: Column, embedding: Column, dimension: int, key_only: Column | None = None) -> Column:
+    """What is wrong first: key, dimension, then finiteness; null if nothing is. Where key_only holds, only the key is judged."""
+    judged = F.when(~has_key(key), F.lit("key is required"))
+    if key_only is not None:
+        judged = judged.when(key_only, F.lit(None))
+    return judged.when(~F.coalesce(has_dimension(embedding, dimension), F.lit(False)), F.lit(f"embedding must have {dimension} components")).when(~is_finite(embedding), F.lit("embedding must be finite"))
 
 
 def check_vector(values: Sequence[float], dimension: int) -> list[float]:

@@ -241,10 +241,9 @@ def ann_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hnsw_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs of segments of 1000 rows propose, the exact score ranks."""
     v, q = vectors(spark, sf_dir), one_vector(spark, sf_dir)
-    rows = v.select(F.floor(F.col("vec_id") / 1000).cast("long").alias("segment_id"), F.col("vec_id").alias("seq"), "embedding")
+    rows = v.select(F.floor(F.col("vec_id") / 1000).cast("long").alias("segment_id"), F.col("vec_id").alias("seq"), "key", "embedding")
     graphs = hnsw.build_graphs(rows, "cosine", hnsw.GraphSettings(16, 100), least=1)
-    found = hnsw.search_graphs(graphs, q, K, "cosine", ef=128).select(F.col("id").alias("vec_id"))
-    return search.displayed(search.top_k(v.join(found, "vec_id", "left_semi"), q, K, "cosine"))
+    return search.displayed(search.top_k(hnsw.search_graphs(graphs, q, K, "cosine", ef=128), q, K, "cosine"))
 
 
 # -- ingest ----------------------------------------------------------------------------------

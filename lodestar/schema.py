@@ -15,7 +15,7 @@ CHANGE = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("key", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("shard_id", T.IntegerType()),
 ])
-ROW = T.StructType([T.StructField("key", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+ITEM = T.StructType(CHANGE.fields[:4])
 COLLECTIONS = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("dimension", T.IntegerType()), T.StructField("metric", T.StringType()),
     T.StructField("count", T.LongType()), T.StructField("has_index", T.BooleanType()),

@@ -60,7 +60,7 @@ def test_graph():
     assert g.search([0.9, 1.1], 2)[0][0] == 1
     g = hnsw.Graph.build([0, 1], [[0, 0], [1, 1]], "l2")
     assert g.remove(1) and not g.remove(1) and [i for i, _ in g.search([1, 1], 1)] == [0]
-    g = hnsw.Graph.from_rows(hnsw.Graph.build([0, 1, 2], [[0, 0], [2, 2], [4, 4]], "l2").rows(), "l2")
+    g = hnsw.Graph.unpacked(hnsw.Graph.build([0, 1, 2], [[0, 0], [2, 2], [4, 4]], "l2").packed(), "l2")
     assert g.search([2.1, 1.9], 1)[0][0] == 1
     g = hnsw.Graph.build([0, 1, 2, 3], [[1, 0, 0], [0.9, 0.1, 0], [0, 1, 0], [0, 0, 1]], "cosine")
     x = np.array([[1, 0, 0], [0.9, 0.1, 0], [0, 1, 0], [0, 0, 1]])
