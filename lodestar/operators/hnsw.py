@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..errors import InvalidArgument
+from ..shipping import ship
 
 
 @dataclass(frozen=True)
@@ -200,6 +201,7 @@ def build_graphs(rows: DataFrame, metric: str, settings: GraphSettings = GraphSe
         cols |= {"segment_id": table["segment_id"].slice(0, 1), "keys": pa.array([table["key"].to_pylist()], pa.list_(pa.string()))}
         return pa.table({f.split()[0]: cols[f.split()[0]] for f in SIDECAR.split(", ")})
 
+    ship(rows.sparkSession)
     return rows.select("segment_id", "seq", "key", "embedding").groupBy("segment_id").applyInArrow(run, SIDECAR)
 
 
@@ -223,4 +225,5 @@ def search_graphs(sidecar: DataFrame, query: Sequence[float], k: int, metric: st
                     pa.array([raw[j] for _, j in found], pa.list_(pa.float32())), pa.array([d for d, _ in found], pa.float64()),
                 ], names=["seq", "key", "embedding", "distance"])
 
+    ship(sidecar.sparkSession)
     return sidecar.mapInArrow(run, "seq long, key string, embedding array<float>, distance double")

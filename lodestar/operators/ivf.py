@@ -36,10 +36,9 @@ def nearest_list(embedding: Column, centroids: list[list[float]]) -> Column:
     return F.array_min(far)["i"].cast("int")
 
 
-def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """rows with the list_id of their nearest centroid; ties go to the smaller id. The centroids, some hundreds, are broadcast."""
-    met = rows.crossJoin(F.broadcast(centroids)).select("key", "list_id", l2_score(F.col("embedding"), F.col("centroid")).alias("d"))
-    return met.groupBy("key").agg(F.min_by("list_id", F.struct("d", "list_id")).alias("list_id"))
+def assign(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """rows (key, embedding) with the list_id of their nearest centroid, ties to the smaller id, found within the scan."""
+    return rows.select("key", "embedding", nearest_list(F.col("embedding"), centroids).alias("list_id"))
 
 
 def probe(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, metric: str = "cosine") -> DataFrame:

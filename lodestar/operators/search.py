@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.metrics import SCORES, prepared_score, shown
+from ..shipping import ship
 
 #: A set of queries is broadcast only up to so many bytes; beyond, it is searched in slices of that size.
 QUERY_BYTES = 32 << 20
@@ -24,26 +29,84 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy("score", "key")))
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", score: Column | None = None, exclude_self: bool = False) -> DataFrame:
-    """For each query (query_id, query) the k nearest rows, with rank.
+def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
+    """For each query (query_id, query) the k nearest rows (key, embedding), with rank.
 
-    queries is the stated, bounded side: it is meant to be broadcast, and rows are never shuffled
-    before each task has cut every query's candidates down to k.
+    queries is the stated, bounded side: at most QUERY_BYTES, taken to every task. A task compares by matrix
+    products, keeps for each query what may be among its k best so far, and scores that exactly,
+    left to right in doubles; rows are never shuffled, only the tasks' best.
     """
+    asked = queries.select("query_id", "query").collect()
+    kind = dict(queries.dtypes)["query_id"]
+    ids = [r["query_id"] for r in asked]
+    names_of = pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType))
+    q = np.array([r["query"] for r in asked], float).reshape(len(ids), -1)
+    names = ["query_id", "key", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((0, len(ids)), np.inf)
+        for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            near, margin = rough_scores(metric, x, q)
+            if exclude_self:
+                own = pc.index_in(b.column(0), pa.array([str(i) for i in ids])).to_numpy(zero_copy_only=False)
+                mine = np.flatnonzero(~np.isnan(own))
+                near[mine, own[mine].astype(int)] = np.inf
+            best = np.concatenate([best, near])
+            if len(best) > k:
+                best = np.partition(best, k - 1, axis=0)[:k]
+            worst = best.max(axis=0) if len(best) == k else np.full(len(ids), np.inf)
+            i, j = np.nonzero((near <= worst + margin) & (near < np.inf))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([names_of.take(pa.array(j)), b.column(0).take(pa.array(i)), pa.array(exact_scores(metric, x[i], q[j]))], names=names)
+
+    ship(rows.sparkSession)
+    if not ids:
+        return rows.select(F.lit(None).cast(kind).alias("query_id"), "key", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+    scored = rows.select("key", "embedding").mapInArrow(run, f"query_id {kind}, key string, score double")
+    by_query = Window.partitionBy("query_id").orderBy("score", "key")
+    return scored.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+
+def rough_scores(metric: str, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all rows by all queries, smaller is nearer, and for each query more than they can be off by."""
+    xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    products = x @ q.T
+    if metric == "l2":
+        return xx[:, None] - 2 * products + qq, 1e-10 * (xx.max(initial=0) + qq)
+    if metric == "cosine":
+        scale = np.sqrt(xx)[:, None] * np.sqrt(qq)
+        return np.where(scale > 0, -products / np.where(scale > 0, scale, 1), 0.0), np.full(len(q), 1e-10)
+    return -products, 1e-10 * np.sqrt(xx.max(initial=0) * qq)
+
+
+def exact_scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Scores of pairs, with the same order of additions as the metrics' expressions."""
+    total = lambda products: np.add.accumulate(products, axis=1)[:, -1]
+    if metric == "l2":
+        return total((x - q) * (x - q))
+    if metric != "cosine":
+        return -total(x * q)
+    scale = np.sqrt(total(x * x)) * np.sqrt(total(q * q))
+    return np.where(scale > 0, -total(x * q) / np.where(scale > 0, scale, 1), 0.0)
+
+
+def knn_joined(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """knn() as a join with queries that are broadcast but not brought to the driver's Python."""
     met = rows.crossJoin(F.broadcast(queries))
-    if exclude_self:
-        met = met.where(F.col("key") != F.col("query_id").cast("string"))
-    scored = met.select("query_id", "key", (SCORES[metric](F.col("embedding"), F.col("query")) if score is None else score).alias("score"))
+    scored = met.select("query_id", "key", SCORES[metric](F.col("embedding"), F.col("query")).alias("score"))
     by_query = Window.partitionBy("query_id").orderBy("score", "key")
     return scored.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 
 
 def knn_sliced(rows: DataFrame, queries: DataFrame, k: int, dimension: int, metric: str = "cosine") -> DataFrame:
-    """knn() for any number of queries: as many slices by hash as keep each under QUERY_BYTES."""
+    """knn() for any number of queries: beyond QUERY_BYTES, as many slices by hash as keep each under them."""
     slices = max(1, -(-queries.count() * (8 * dimension + 64) // QUERY_BYTES))
+    if slices == 1:
+        return knn(rows, queries, k, metric)
     out = None
     for i in range(slices):
-        part = knn(rows, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i) if slices > 1 else queries, k, metric)
+        part = knn_joined(rows, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i), k, metric)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from .operators import changes as ch
 from .operators import hnsw, ivf, search
 from .plans.statements import parse
 from .sources.jsonl import parsed
+from .sources.storage import shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, ONE, PROBED = 10, 7, 4
@@ -35,7 +35,7 @@ def one_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def some_queries(rows: DataFrame) -> DataFrame:
-    return rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +105,10 @@ def statement_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = items(spark, sf_dir).where("l_linenumber = 1")
+    li = items(spark, sf_dir)
     unit = M.normalized(F.col("embedding").cast("array<float>"))
     shown = [(F.round(unit[i].cast("double"), 4) + F.lit(0.0)).alias(f"x{i}") for i in (0, 1)]
-    return li.select("l_orderkey", "l_partkey", "l_suppkey", *shown)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *shown)
 
 
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,50 +192,47 @@ def merge_segments_equals_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.live(ch.merged(ch.sealed(changelog(spark, sf_dir), 1000), 4).drop("segment_id")).select("key", "seq")
 
 
-def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two collections in the catalog's form: the vectors, and the users' last states."""
-    info = spark.createDataFrame([("events", 3, "l2", False), ("embeddings", 64, "cosine", True)], "name string, dimension int, metric string, has_index boolean")
-    counted = vectors(spark, sf_dir).select(F.lit("embeddings").alias("name")).unionByName(ch.live(changelog(spark, sf_dir)).select(F.lit("events").alias("name"))).groupBy("name").count()
-    return info.join(F.broadcast(counted), "name", "left").select("name", "dimension", "metric", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "has_index")
-
-
-def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collections(spark, sf_dir).orderBy("name")
-
-
-def describe_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collections(spark, sf_dir).where(F.lower("name") == "Events".lower())
-
-
-def recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_shard = changelog(spark, sf_dir).groupBy(M.shard_of(F.col("key"), 8).alias("shard_id")).agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.bool_or(F.col("op") == "delete").alias("any_deleted"))
-    return by_shard.agg(F.sum("n").alias("changes"), F.max("last").alias("last_seq"), F.bool_or("any_deleted").alias("any_deleted"))
-
-
 # -- approximate search ----------------------------------------------------------------------
 
 
-def fixed_centroids(v: DataFrame) -> DataFrame:
-    return v.where("vec_id < 16").select(F.col("vec_id").cast("int").alias("list_id"), F.col("embedding").cast("array<double>").alias("centroid"))
+def fixed_centroids(v: DataFrame) -> list[list[float]]:
+    """The first sixteen vectors."""
+    return [list(r["embedding"]) for r in v.where("vec_id < 16").orderBy("vec_id").select("embedding").collect()]
 
 
 def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return ivf.assign(v, fixed_centroids(v))
+    return ivf.assign(v, fixed_centroids(v)).select("key", "list_id")
 
 
-def lists(v: DataFrame) -> DataFrame:
-    return ivf.assign(v, fixed_centroids(v)).join(v.select("key", "embedding"), "key")
+def probed(spark: SparkSession, sf_dir: str, probes: int, centroids: list[list[float]] | None = None) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    c = centroids or fixed_centroids(v)
+    return ivf.probe(ivf.assign(v, c), some_queries(v), ivf.centroid_rows(spark, c), K, probes)
 
 
 def ivf_full_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.displayed(probed(spark, sf_dir, 16)).select("query_id", "rank", "key", "score")
+
+
+def ivf_partial_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.displayed(probed(spark, sf_dir, PROBED)).select("query_id", "rank", "key", "score")
+
+
+def ivf_trained_full_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists around centroids fitted on a bounded sample, stored by list and read again; all of them are probed."""
     v = vectors(spark, sf_dir)
-    return search.displayed(ivf.probe(lists(v), some_queries(v), fixed_centroids(v), K, 16)).select("query_id", "rank", "key", "score")
+    centroids = ivf.fit_centroids(v, 12)
+    path = f"{shared_root(spark)}/lists-{uuid.uuid4().hex}"
+    ivf.assign(v, centroids).write.partitionBy("list_id").parquet(path)
+    lists = spark.read.parquet(path)
+    return search.displayed(ivf.probe(lists, some_queries(v), ivf.centroid_rows(spark, centroids), K, len(centroids))).select("query_id", "rank", "key", "score")
 
 
 def ann_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return search.recall(ivf.probe(lists(v), some_queries(v), fixed_centroids(v), K, PROBED), search.knn(v, some_queries(v), K), K)
+    found = search.recall(probed(spark, sf_dir, PROBED), search.knn(v, some_queries(v), K), K)
+    return found.select("query_id", M.shown(F.col("recall")).alias("recall"))
 
 
 def hnsw_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +259,7 @@ def stream_ingest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files, appended batch by batch, then folded."""
     from .streaming.ingest import current, ingest
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="lodestar-stream-")
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     vec = F.array(F.col("value")).cast("array<float>")
@@ -276,7 +272,7 @@ def queries() -> dict[str, Query]:
     named = (
         topk_include_embedding, knn_self_join_exclude_self, lineitem_vector_topk, shard_histogram, statement_search, normalize_vectors, vector_norms, cosine_distance_clamped, validate_vectors,
         get_by_key, multi_get, resolve_ids, is_deleted, latest_per_key, live_count, tombstoned_keys, upsert_report, delete_then_reinsert, search_after_upserts, seal_segments, merge_segments_equals_live,
-        list_collections, describe_collection, recovery_report, ivf_assign, ivf_full_probe_topk, ann_recall_at_k, hnsw_candidates_topk, jsonl_ingest_roundtrip, stream_ingest_latest,
+        ivf_assign, ivf_full_probe_topk, ivf_partial_probe_topk, ivf_trained_full_probe_topk, ann_recall_at_k, hnsw_candidates_topk, jsonl_ingest_roundtrip, stream_ingest_latest,
     )
     short = {"cosine": "cosine", "l2": "l2", "dot_product": "dot"}
     out: dict[str, Query] = {f"topk_{short[m]}": topk(m) for m in METRICS} | {f"knn_batch_{short[m]}": knn_batch(m) for m in METRICS}
@@ -306,7 +302,7 @@ def topk_sql(metric: str) -> str:
 
 def knn_sql(metric: str, k: int = K, more: str = "") -> str:
     return (
-        f"WITH v AS ({E_SQL}), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 20), s AS (SELECT query_id, key, {score_sql(metric, 'e', 'qe')} AS raw FROM v, q WHERE true {more}), "
+        f"WITH v AS ({E_SQL}), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0), s AS (SELECT query_id, key, {score_sql(metric, 'e', 'qe')} AS raw FROM v, q WHERE true {more}), "
         f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw, key) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, key, round(raw, 6) + 0 AS score FROM r WHERE rank <= {k}"
     )
 
@@ -314,7 +310,11 @@ def knn_sql(metric: str, k: int = K, more: str = "") -> str:
 def oracle_sql() -> dict[str, str]:
     wanted = "SELECT CAST(i AS VARCHAR) AS key FROM range(0, 400, 5) t(i)"
     assigned = f"WITH v AS ({E_SQL}), c AS (SELECT CAST(vec_id AS INTEGER) AS list_id, e AS ce FROM v WHERE vec_id < 16) SELECT key, arg_min(list_id, {{'d': {score_sql('l2', 'e', 'ce')}, 'i': list_id}}) AS list_id FROM v, c GROUP BY key"
-    coll = f"WITH {LAST} SELECT 'embeddings' AS name, 64 AS dimension, 'cosine' AS metric, (SELECT count(*) FROM embeddings) AS count, true AS has_index UNION ALL SELECT 'events', 3, 'l2', (SELECT count(*) FROM live), false"
+    probed = (
+        f"WITH v AS ({E_SQL}), c AS (SELECT CAST(vec_id AS INTEGER) AS list_id, e AS ce FROM v WHERE vec_id < 16), a AS (SELECT key, e, arg_min(list_id, {{'d': {score_sql('l2', 'e', 'ce')}, 'i': list_id}}) AS list_id FROM v, c GROUP BY key, e), "
+        f"q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0), w AS (SELECT query_id, qe, list_id, row_number() OVER (PARTITION BY query_id ORDER BY {score_sql('l2', 'qe', 'ce')}, list_id) AS r FROM q, c), "
+        f"s AS (SELECT query_id, key, {score_sql('cosine', 'e', 'qe')} AS raw FROM w JOIN a ON w.list_id = a.list_id WHERE r <= {PROBED}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw, key) AS rank FROM s) WHERE rank <= {K})"
+    )
     top = topk_sql("cosine")
     return {
         "topk_cosine": top,
@@ -328,10 +328,13 @@ def oracle_sql() -> dict[str, str]:
         "knn_batch_l2": knn_sql("l2"),
         "knn_batch_dot": knn_sql("dot_product"),
         "ivf_full_probe_topk": knn_sql("cosine"),
+        "ivf_trained_full_probe_topk": knn_sql("cosine"),
+        "ivf_partial_probe_topk": f"{probed} SELECT query_id, CAST(rank AS INTEGER) AS rank, key, round(raw, 6) + 0 AS score FROM f",
+        "ann_recall_at_k": f"{probed}, t AS ({knn_sql('cosine')}) SELECT t.query_id, round(count(f.key) / {K}.0, 6) + 0 AS recall FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.key = f.key GROUP BY t.query_id",
         "knn_self_join_exclude_self": knn_sql("cosine", 5, "AND key <> CAST(query_id AS VARCHAR)"),
         "lineitem_vector_topk": f"WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {score_sql('l2', '[l_quantity, l_extendedprice, l_discount, l_tax]', '[25.0::DOUBLE, 40000.0, 0.05, 0.04]')} AS raw FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(raw, 6) + 0 AS score FROM s ORDER BY raw, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20",
         "shard_histogram": f"SELECT CAST({FNV.format(k='CAST(vec_id AS VARCHAR)')} % 8 AS INTEGER) AS shard_id, count(*) AS n, min(vec_id) AS least FROM embeddings GROUP BY 1",
-        "normalize_vectors": "WITH f AS (SELECT l_orderkey, l_partkey, l_suppkey, [l_quantity, l_extendedprice, l_discount, l_tax]::FLOAT[]::DOUBLE[] AS e FROM lineitem WHERE l_linenumber = 1), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM f) SELECT l_orderkey, l_partkey, l_suppkey, round((e[1] / n)::FLOAT::DOUBLE, 4) + 0 AS x0, round((e[2] / n)::FLOAT::DOUBLE, 4) + 0 AS x1 FROM n",
+        "normalize_vectors": "WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [l_quantity, l_extendedprice, l_discount, l_tax]::FLOAT[]::DOUBLE[] AS e FROM lineitem), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM f) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((e[1] / n)::FLOAT::DOUBLE, 4) + 0 AS x0, round((e[2] / n)::FLOAT::DOUBLE, 4) + 0 AS x1 FROM n",
         "vector_norms": f"WITH v AS ({E_SQL}) SELECT key, round(sqrt(list_inner_product(e, e)), 6) + 0 AS norm, round(list_inner_product(e, e), 6) + 0 AS square FROM v",
         "cosine_distance_clamped": f"WITH v AS ({E_SQL}), q AS (SELECT e AS qe FROM v WHERE vec_id = {ONE}) SELECT key, CASE WHEN label = 0 THEN 1.0 ELSE round(1.0 - greatest(-1.0, least(1.0, -({score_sql('cosine', 'e', 'qe')}))), 6) + 0 END AS distance FROM v, q",
         "validate_vectors": "SELECT CASE WHEN vec_id % 7 = 0 THEN 'key is required' WHEN vec_id % 11 = 0 THEN 'embedding must have 64 components' WHEN vec_id % 13 = 0 OR vec_id % 17 = 0 THEN 'embedding must be finite' ELSE 'ok' END AS problem, count(*) AS n FROM embeddings GROUP BY 1",
@@ -347,9 +350,6 @@ def oracle_sql() -> dict[str, str]:
         "search_after_upserts": f"WITH {LAST}, s AS (SELECT key, {score_sql('l2', '[x0::DOUBLE, x1::DOUBLE, 1.0]', '[50.0::DOUBLE, 26.0, 1.0]')} AS raw FROM live) SELECT key, round(round(raw, 6), 3) + 0 AS score FROM s ORDER BY raw, key LIMIT {K}",
         "seal_segments": f"WITH c AS ({C_SQL}), s AS (SELECT CAST(floor(seq / 1000) AS BIGINT) AS segment_id, key, max(seq) AS seq, arg_max(op, seq) AS op FROM c GROUP BY 1, 2) SELECT segment_id, count(*) AS keys, count(*) FILTER (op = 'delete') AS deleted, max(seq) AS last_seq FROM s GROUP BY 1",
         "merge_segments_equals_live": f"WITH {LAST} SELECT key, seq FROM live",
-        "list_collections": f"SELECT * FROM ({coll}) ORDER BY name",
-        "describe_collection": f"SELECT * FROM ({coll}) WHERE lower(name) = 'events'",
-        "recovery_report": f"WITH c AS ({C_SQL}) SELECT CAST(count(*) AS BIGINT) AS changes, max(seq) AS last_seq, bool_or(op = 'delete') AS any_deleted FROM c",
         "ivf_assign": assigned,
         "jsonl_ingest_roundtrip": f"WITH c AS ({C_SQL}) SELECT key, max(seq) AS seq, round(arg_max(x0, seq)::DOUBLE, 3) + 0 AS x0 FROM c WHERE op = 'upsert' GROUP BY key",
         "stream_ingest_latest": f"WITH {LAST} SELECT key, seq, round(x0::DOUBLE, 3) + 0 AS x0 FROM live",

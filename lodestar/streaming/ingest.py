@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import live
+from ..plans.database import Database
 
 
 def ingest(changes: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -23,6 +24,21 @@ def ingest(changes: DataFrame, target: str, checkpoint: str, once: bool = True)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def ingest_into(db: Database, name: str, changes: DataFrame, checkpoint: str, stream: str, once: bool = True, maintain: bool = True) -> StreamingQuery:
+    """Apply a stream of changes (ordinal, op, key, embedding) to a collection, one commit a batch, and seal and merge after each.
+
+    The collection keeps the last batch of each stream, by name, so that a batch that is run again isn't applied again.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        db.apply(name, batch, F.col("ordinal"), stream, batch_id)
+        if maintain:
+            db.optimize(name)
+
+    writer = changes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def current(spark, target: str) -> DataFrame:
     return live(spark.read.parquet(target).drop("batch_id"))
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.errors import AlreadyExists, InvalidArgument, NotFound, ResourceExhausted
+from lodestar.errors import AlreadyExists, Conflict, InvalidArgument, NotFound, ResourceExhausted
 from lodestar.plans.database import Database
 from lodestar.schema import Config, Guardrails, Storage
 
@@ -16,46 +16,46 @@ def hits(df):
 
 
 def test_cosine_scores_and_normalized_reads(db):
-    db.create_collection("c", 2)
-    assert db.batch_insert("c", [("a", [3, 4]), ("b", [4, 3])]) == 2
-    assert hits(db.search("c", [6, 8], 2)) == [("a", -1.0), ("b", -0.96)]
-    assert db.get("c", "a") == pytest.approx([0.6, 0.8])
+    db.create_collection("c", 3)
+    assert db.batch_insert("c", [("north", [0, 5, 12]), ("east", [12, 0, 5])]) == 2
+    assert hits(db.search("c", [0, 10, 24], 2)) == [("north", -1.0), ("east", round(-60 / 169, 6))]
+    assert db.get("c", "north") == pytest.approx([0, 5 / 13, 12 / 13])
     again = Database(db.spark, db.files.root)
-    assert again.get("c", "b") == pytest.approx([0.8, 0.6]) and again.key_id("c", "b") == 1
+    assert again.get("c", "east") == pytest.approx([12 / 13, 0, 5 / 13]) and again.key_id("c", "east") == 1
     with pytest.raises(InvalidArgument):
-        again.open_collection("c", 3, "cosine")
+        again.open_collection("c", 4, "cosine")
     with pytest.raises(InvalidArgument):
-        again.open_collection("c", 2, "dot_product")
+        again.open_collection("c", 3, "dot_product")
 
 
 def test_batch_overwrite_and_report(db):
     db.create_collection("c", 2, "l2")
-    assert db.batch_insert("c", [("a", [0, 0]), ("b", [1, 1]), ("a", [2, 2])]) == 3
+    assert db.batch_insert("c", [("p", [7, 1]), ("q", [0.5, 3]), ("p", [-4, 6]), ("p", [8, 8])]) == 4
     report = {r["id"]: (r["key"], r["had_old"], r["old_id"]) for r in db.upsert_report("c").collect()}
-    assert report == {0: ("a", False, None), 1: ("b", False, None), 2: ("a", True, 0)}
-    assert db.count("c") == 2 and db.get("c", "a") == [2, 2]
+    assert report == {0: ("p", False, None), 1: ("q", False, None), 2: ("p", True, 0), 3: ("p", True, 2)}
+    assert db.count("c") == 2 and db.get("c", "p") == [8, 8]
 
 
 def test_overwrite_delete_and_ids(db):
     db.create_collection("c", 2, "l2")
-    db.batch_insert("c", [("a", [0, 0]), ("b", [5, 5])])
-    db.insert("c", "a", [10, 10])
-    assert hits(db.search("c", [0, 0], 1)) == [("b", 50.0)]
-    db.delete("c", "b")
-    assert hits(db.search("c", [0, 0], 1)) == [("a", 200.0)]
+    db.batch_insert("c", [("p", [1, 0]), ("q", [0, 7])])
+    db.insert("c", "p", [3, -9])
+    assert hits(db.search("c", [0, 1], 1)) == [("q", 36.0)]
+    db.delete("c", "q")
+    assert hits(db.search("c", [0, 1], 1)) == [("p", 109.0)]
     with pytest.raises(NotFound):
-        db.get("c", "b")
+        db.get("c", "q")
     with pytest.raises(NotFound):
-        db.delete("c", "b")
-    assert [(r["id"], r["key"]) for r in db.resolve_ids("c", [0, 1, 2, 999]).collect()] == [(2, "a")]
+        db.delete("c", "q")
+    assert [(r["id"], r["key"]) for r in db.resolve_ids("c", [0, 1, 2, 77]).collect()] == [(2, "p")]
     assert db.is_deleted("c", 1) and not db.is_deleted("c", 2) and db.count("c") == 1
 
 
 def test_ties_and_shards(db):
-    db.create_collection("c", 2, "l2")
-    db.batch_insert("c", [("v10", [10, 10]), ("v2", [2, 2]), ("v0", [0, 0]), ("v1", [1, 1]), ("z", [1, 1])])
-    assert [k for k, _ in hits(db.search("c", [1.1, 1.1], 3))] == ["v1", "z", "v2"]
-    point = db.point(db.manifest("c"), "v1")
+    db.create_collection("c", 2, "dot_product")
+    db.batch_insert("c", [("far", [1, -2]), ("twin b", [4, 4]), ("near", [9, 1]), ("twin a", [4, 4])])
+    assert [k for k, _ in hits(db.search("c", [1, 1], 4))] == ["near", "twin a", "twin b", "far"]
+    point = db.point(db.manifest("c"), "near")
     assert "PartitionFilters: [isnotnull(shard_id" in point._jdf.queryExecution().toString()
 
 
@@ -157,3 +157,89 @@ def test_indexed_search_agrees_with_exact(spark, tmp_path):
     db.delete("c", exact[1][0])
     found = hits(db.search("c", [0.3] * 8, 5))
     assert found[0][0] == "new" and found[1] == exact[0] and exact[1][0] not in dict(found)
+
+
+@pytest.mark.parametrize("partitions, advisory", [(3, "64k"), (16, "1m"), (40, "64m")])
+def test_load_keeps_every_row(spark, tmp_path, partitions, advisory):
+    """50,000 rows of 64 components; numbers and vectors of very different width, so that adaptive execution has much to coalesce."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    try:
+        db = Database(spark, f"file://{tmp_path}/db")
+        db.create_collection("c", 64, "l2")
+        n = 50_000
+        rows = spark.range(n, numPartitions=7).select(F.concat(F.lit("k"), F.col("id") % 40_000).alias("key"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * F.col("id")).cast("float")).alias("embedding"), (n - F.col("id")).alias("back"))
+        assert db.load("c", rows, F.col("back")) == n and db.load("c", rows) == n
+        seen = db.changes("c").agg(F.count("*"), F.countDistinct("seq"), F.min("seq"), F.max("seq")).first()
+        assert tuple(seen) == (2 * n, 2 * n, 0, 2 * n - 1) and db.count("c") == 40_000
+        first = db.changes("c").where(F.col("seq") < n)
+        assert first.where(F.col("embedding")[1] != n - F.col("seq") - 1).count() == 0  # by ordinal: the largest id came first
+        assert db.manifest("c")["next_seq"] == 2 * n and db.files.names("c/staging") == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_search_of_merged_rows_has_no_shuffle(db, spark):
+    db.create_collection("c", 2, "l2")
+    rows = spark.range(400).select((F.col("id") % 300).cast("string").alias("key"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), "id")
+    db.load("c", rows, F.col("id"))
+    folded = db.search("c", [10, 1], 3)
+    assert "Exchange hashpartitioning" in folded._jdf.queryExecution().executedPlan().toString()
+    expected = hits(folded)
+    db.compact("c")
+    merged = db.search("c", [10, 1], 3)
+    assert "Exchange hashpartitioning" not in merged._jdf.queryExecution().executedPlan().toString() and hits(merged) == expected
+    db.insert("c", "new", [10, 1])
+    db.delete("c", expected[0][0])
+    tail = db.search("c", [10, 1], 3)
+    assert hits(tail) == [("new", 0.0), *expected[1:]]
+    plan = tail._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_apply_changes_once(db, spark):
+    db.create_collection("c", 1, "l2")
+    batch = spark.createDataFrame([(1, "upsert", "a", [1.0]), (0, "delete", "a", None), (2, "upsert", "b", [2.0]), (3, "delete", "b", None), (4, "delete", "never", None)], "o long, op string, key string, embedding array<double>")
+    for _ in range(2):
+        db.apply("c", batch, F.col("o"), "stream", 0)
+    assert db.apply("c", batch, F.col("o"), "stream", 1) == 5 and db.manifest("c")["next_seq"] == 10
+    assert [(r["key"], r["seq"]) for r in db.live("c").collect()] == [("a", 6)]
+    for wrong in (("upsert", "a", None), ("upsert", None, [1.0]), ("flag", "a", [1.0]), ("upsert", "a", [1.0, 2.0]), (None, "a", [1.0])):
+        with pytest.raises(InvalidArgument, match="item 1"):
+            db.apply("c", batch.limit(1).coalesce(1).unionByName(spark.createDataFrame([(9, *wrong)], batch.schema)), F.col("o"))
+    assert db.load("c", batch.limit(0)) == 0 and db.count("c") == 1
+
+
+def test_index_follows_merges(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db", Config(storage=Storage(index_min_rows=20, merge_over=2, merge_width=3, seal_ops=100)))
+    db.create_collection("c", 4, "l2")
+    rows = spark.range(250).select(F.col("id").cast("string").alias("key"), F.array(*(F.sin(F.col("id") * (i + 1)).cast("float") for i in range(4))).alias("embedding"), "id")
+    db.load("c", rows, F.col("id"))
+    db.create_index("c")
+    assert db.build_index("c") == 250
+    query = [0.2, 0.4, 0.1, 0.3]
+    best = hits(db.search("c", query, 2))
+    for key, _ in best:
+        db.delete("c", key)
+    exact = hits(search_exactly(db, query))
+    assert hits(db.search("c", query, 2)) == exact
+    assert db.optimize("c")["indexed"] and db.manifest("c")["graphs"] and hits(db.search("c", query, 2)) == exact
+    graphs = db._candidates(db.manifest("c"), query, 2, 0)
+    assert "Exchange" not in graphs._jdf.queryExecution().executedPlan().toString()
+
+
+def search_exactly(db, query):
+    from lodestar.operators.search import ranked, top_k
+
+    return ranked(top_k(db.live("c"), query, 2, "l2"))
+
+
+def test_second_writer_of_a_version_conflicts(db):
+    db.create_collection("c", 1, "l2")
+    stale = db.manifest("c")
+    db.insert("c", "a", [1])
+    with pytest.raises(Conflict):
+        db._publish("c", stale)
+    assert db.count("c") == 1 and not [x for x in db.files.names("c") if x.endswith(".tmp")]

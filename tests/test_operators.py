@@ -80,19 +80,21 @@ def test_graph_recall():
     assert hit / 400 > 0.9
 
 
-def test_inverted_lists_are_exact_at_full_probe(spark):
+def test_inverted_lists_are_exact_at_full_probe(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = spark.createDataFrame([(str(i), x.tolist()) for i, x in enumerate(rng.normal(size=(120, 4)))], "key string, embedding array<double>")
     centroids = ivf.fit_centroids(v, 6)
     c = ivf.centroid_rows(spark, centroids)
-    lists = ivf.assign(v, c).join(v, "key")
-    inline = {r["key"]: r["l"] for r in v.select("key", ivf.nearest_list(F.col("embedding"), centroids).alias("l")).collect()}
-    assert {r["key"]: r["list_id"] for r in lists.collect()} == inline
+    lists = ivf.assign(v, centroids)
+    x, near = {r["key"]: r["embedding"] for r in v.collect()}, np.array(centroids)
+    assert {r["key"]: r["list_id"] for r in lists.collect()} == {k: int(((np.array(e) - near) ** 2).sum(1).argmin()) for k, e in x.items()}
     q = v.limit(5).select(F.col("key").alias("query_id"), F.col("embedding").alias("query"))
     q = spark.createDataFrame(q.collect(), q.schema)
     key = lambda df: sorted((r["query_id"], r["rank"], r["key"]) for r in df.collect())
     exact = search.knn(v, q, 3, "l2")
     assert key(ivf.probe(lists, q, c, 3, 6, "l2")) == key(exact) == key(search.knn_sliced(v, q, 3, 4, "l2"))
+    monkeypatch.setattr(search, "QUERY_BYTES", 100)  # several slices
+    assert key(search.knn_sliced(v, q, 3, 4, "l2")) == key(exact)
     assert all(0 < r["recall"] <= 1 for r in search.recall(ivf.probe(lists, q, c, 3, 1, "l2"), exact, 3).collect())
 
 

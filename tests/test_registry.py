@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestar import registry
+from lodestar import registry, registry_database
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.is_dir(), reason="needs the test tables")
@@ -24,10 +24,13 @@ def rows(names, found):
     return sorted(repr(tuple(r[i] for i in order)) for r in found)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+QUERIES, SQL = registry.queries() | registry_database.queries(), registry.oracle_sql() | registry_database.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, tables, name):
-    ours = registry.queries()[name](spark, str(SF))
-    theirs = tables.execute(registry.oracle_sql()[name])
+    ours = QUERIES[name](spark, str(SF))
+    theirs = tables.execute(SQL[name])
     names = [c[0] for c in theirs.description]
     assert sorted(ours.columns) == sorted(names)
     assert rows(ours.columns, [tuple(r) for r in ours.collect()]) == rows(names, theirs.fetchall())
@@ -35,4 +38,4 @@ def test_query(spark, tables, name):
 
 def test_recall_is_reported(spark):
     found = registry.queries()["ann_recall_at_k"](spark, str(SF)).collect()
-    assert len(found) == 20 and all(0 <= r["recall"] <= 1 for r in found)
+    assert len(found) == 25 and all(0 <= r["recall"] <= 1 for r in found)
