@@ -3,7 +3,7 @@
 Character n-grams of the lower-cased text (every run of non-letters is one space) are hashed to
 buckets; a document is the mean of its buckets' embeddings, and a linear softmax turns the mean
 into a language. Both layers are trained together by stochastic gradient descent in numpy, on a
-bounded sample of labelled rows (`per_language`, the only bound). The temperature and the rejection
+bounded sample of labelled rows (`per_language` of each language, SAMPLE in all; the only bounds). The temperature and the rejection
 threshold come from a part of the sample that training does not see.
 
 As the model is linear, embeddings and weights fold into one table of logits by bucket, so that
@@ -24,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, sliced, tidied
 
 BUCKET_BITS = 15
-MAX_LANGUAGES = 512
+SAMPLE = 100_000  # most rows drawn in all
 _LETTER: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
-    """For each code point below 2^16, whether it is a letter; those above count as letters."""
+    """For each code point, whether it is a letter."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
+        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _LETTER
 
 
@@ -44,7 +44,7 @@ def grams(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint32)
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    is_letter = letters()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    is_letter = letters()[c]
     if not is_letter.any():
         return np.empty(0, np.uint32)
     c = np.where(is_letter, c, 32)
@@ -139,16 +139,21 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> Model:
-    """Train on at most about per_language labelled rows of each language, drawn by a hash of the id."""
+    """Train on at most about per_language labelled rows of each language, drawn by a hash of the id.
+
+    In all at most SAMPLE rows are drawn: with many languages fewer of each, and of more than SAMPLE
+    languages the most frequent ones.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()
+    per_language = max(1, min(per_language, SAMPLE // max(1, len(counts))))
     drawn = []
     draw = (F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).cast("double")
     if counts:
         share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))))
         picked = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), draw.alias("u"))
         picked = picked.where(F.col("u") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-        drawn = picked.orderBy("u", "id").limit(2 * per_language * len(counts)).collect()
+        drawn = picked.orderBy("u", "id").limit(min(SAMPLE, 2 * per_language * len(counts))).collect()
     return train([(r["text"], r["lang"]) for r in drawn])
 
 
@@ -158,14 +163,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+        for b in sliced(batches):
             said = [model.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([x[0] for x in said], pa.string()), pa.array([round(x[1], 6) for x in said], pa.float64()), pa.array([x[0] == "und" or x[1] < model.threshold for x in said], pa.bool_())],
                 names=[id_col, "held_out", "lang_pred", "score", "rejected"],
             )
 
-    return docs.select(id_col, text_col, held_out(id_col).alias("held_out")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(id_col, text_col, held_out(id_col).alias("held_out")).mapInArrow(tidied(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -174,8 +179,8 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+        for b in sliced(batches, column=at):
             said = [model.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != "und" and p >= model.threshold for lang, p in said], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
