@@ -14,8 +14,8 @@ the two doesn't change what stays). Only meetings and one row for each document
 is no hot key.
 
 Defined results: a null text has no words, no hits; items with null or empty text have no windows;
-an item without an id counts in hits but is not listed; rows that repeat id and text give one row,
-rows that repeat only the id give one row for each text; an empty table on either side gives an
+an item without an id counts in hits but is not listed; each row of the documents gives one row,
+rows that repeat id and text too; an empty table on either side gives an
 empty result or no hits; other columns are ignored. Whole texts of any length are used.
 """
 
@@ -132,7 +132,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         found = runs.join(small_or_whole(short, 64 + 16 * length, **limits), "fp").where("doc_words = item_words")
         hits = hits.unionByName(found.select(*KEY, F.lit(None).cast("int").alias("n"), "item_id", F.col("p").alias("start"), (F.col("p") + length - 1).alias("end")))
     span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
-    by_doc = hits.groupBy(*KEY).agg(F.max("n").alias("n"), F.collect_set(span).alias("runs"), F.collect_set("item_id").alias("items"))
+    # n is there in a document's own rows only: one, or more if rows repeat id and text
+    by_doc = hits.groupBy(*KEY).agg(F.max("n").alias("n"), F.count("n").alias("_times"), F.collect_set(span).alias("runs"), F.collect_set("item_id").alias("items"))
     covered = F.aggregate(
         F.array_sort("runs"),
         F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")),
@@ -140,33 +141,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         lambda acc: acc["n"].cast("long"),
     )
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    out = by_doc.select(F.col("doc_key").alias(id_col), *["text_key"] * with_text_key, F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"))
+    counted = by_doc.select(F.col("doc_key").alias(id_col), "text_key", "_times", F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"))
+    names = [id_col, *["text_key"] * with_text_key, "n_words", "n_hit", "n_items", "items_sha256"]
+    out = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*names)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs, same columns, without the contaminated ones."""
     found = decontaminate(docs, items, id_col, text_col, item_id, item_text, with_text_key=True)
-    gone = write_table(found.where("contaminated").select(F.col(id_col).alias("_id"), "text_key"), "contaminated")
+    gone = write_table(found.where("contaminated").select(F.col(id_col).alias("_id"), "text_key").distinct(), "contaminated")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("text_key"))
     return docs.join(small_or_whole(gone, 24), same, "left_anti")
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
  b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
  bi AS (SELECT item_id, w, least(len(w), 13) AS l, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0),
  bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM bi),
  ls AS (SELECT DISTINCT l FROM bw),
- di AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, ls WHERE len(w) >= l),
- dw AS (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS g FROM di),
- h AS (SELECT doc_id, item_id, i, l FROM dw JOIN bw USING (l, g)),
- p AS (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM h),
- n AS (SELECT doc_id, count(*) AS n_hit FROM p GROUP BY doc_id),
- t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+ di AS (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, ls WHERE len(w) >= l),
+ dw AS (SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS g FROM di),
+ h AS (SELECT r, item_id, i, l FROM dw JOIN bw USING (l, g)),
+ p AS (SELECT DISTINCT r, unnest(range(i, i + l)) AS p FROM h),
+ n AS (SELECT r, count(*) AS n_hit FROM p GROUP BY r),
+ t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY r)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN t ON d.r = t.r
 """
