@@ -15,6 +15,7 @@ one unit of rendering and encoding and is held in memory as a whole.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, tokenizer_path
+from .common import ship, tidied, tokenizer_path
 
 TURN, END = "<|turn|>", "<|end|>"
 
@@ -35,6 +36,8 @@ def escape(text: str | None, role: bool = False) -> str:
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.DOTALL)
 
 
@@ -85,13 +88,16 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
 
 def covered(formatted: str, starts: np.ndarray, ends: np.ndarray, on: np.ndarray) -> list[str]:
     """The stretches of formatted that the masked tokens cover; tokens of one character share it."""
-    out: list[list[int]] = []
-    for s, e in zip(starts[on].tolist(), ends[on].tolist()):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [formatted[s:e] for s, e in out]
+    s, e = starts[on], np.maximum.accumulate(ends[on]) if on.any() else ends[on]
+    new = np.flatnonzero(np.r_[True, s[1:] > e[:-1]][: len(s)])
+    return [formatted[lo:hi] for lo, hi in zip(s[new].tolist(), e[np.r_[new[1:], len(s)] - 1].tolist() if len(s) else [])]
+
+
+def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A column of lists, from an array for each row."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(kind))
 
 
 FORMATTED = "formatted string, input_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
@@ -107,21 +113,21 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = chat_tokenizer(tokenizer_file)
         for whole_batch in batches:
-            for b in (whole_batch.slice(i, 256) for i in range(0, whole_batch.num_rows, 256)):
+            for b in (whole_batch.slice(i, 64) for i in range(0, whole_batch.num_rows, 64)):
                 texts, ids, starts, ends, masks = [], [], [], [], []
                 for conv in b.column(1).to_pylist():
                     said = [(x["role"], x["text"]) for x in conv]
                     formatted, spans = render(said)
                     e = t.encode(formatted, add_special_tokens=False)
-                    offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
+                    offsets = np.fromiter(itertools.chain.from_iterable(e.offsets), np.int32, 2 * len(e)).reshape(-1, 2)
                     texts.append(formatted)
-                    ids.append(e.ids)
+                    ids.append(np.array(e.ids, np.int32))
                     starts.append(offsets[:, 0])
                     ends.append(offsets[:, 1])
                     masks.append(mask(offsets[:, 0], offsets[:, 1], [s for s, (role, _) in zip(spans, said) if role == loss_role]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))],
+                    [b.column(0), pa.array(texts, pa.string()), *(lists_of(x, pa.int32()) for x in (ids, starts, ends)), lists_of(masks, pa.bool_())],
                     names=[id_col, "formatted", "input_ids", "token_starts", "token_ends", "loss_mask"],
                 )
 
-    return whole.mapInArrow(run, f"`{id_col}` {kind}, {FORMATTED}")
+    return whole.mapInArrow(tidied(run), f"`{id_col}` {kind}, {FORMATTED}")

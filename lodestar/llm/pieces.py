@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import ship, tokenizer_path
+from .common import ship, sliced, tidied, tokenizer_path
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -162,7 +162,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for b in sliced(batches, column=0, rows=ROWS):
             n, shas, decoded, every = [], [], [], []
             for text in b.column(0).to_pylist():
                 ids = c.encode(text)
@@ -180,4 +180,4 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     schema = ", ".join(f"`{x}` {kinds[x]}" for x in names) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs[text_col].alias("__text"), *(docs[x] for x in names)).mapInArrow(run, schema)
+    return docs.select(docs[text_col].alias("__text"), *(docs[x] for x in names)).mapInArrow(tidied(run, _CODECS), schema)

@@ -5,13 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, contamination, jaccard, language, neighbours, passages, pieces, secrets, token_counts, url_lists
-from .common import read_table, ship
+from .common import read_table, ship, tidied
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,13 +64,13 @@ OP5_SQL = r"""
 WITH e(list, entry, action, day) AS (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in LIST_EVENTS) + r"""),
  s AS (SELECT *, lag(action, 1, 'remove') OVER (PARTITION BY list, entry ORDER BY day, action) AS before FROM e),
  v AS (SELECT list, entry, substr(entry, 3) AS name, action, day AS f, lead(day) OVER (PARTITION BY list, entry ORDER BY day, action) AS t FROM s WHERE action <> before),
- p AS (SELECT DISTINCT page_id, url, DATE '2023-01-01' + CAST(page_id % 730 AS INTEGER) AS day,
+ p AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, url, DATE '2023-01-01' + CAST(page_id % 730 AS INTEGER) AS day,
    nullif(regexp_replace(lower(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '') AS host,
    regexp_replace(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*)://[^/?#]+(/[^?#]*)?', 1), '/+', '/', 'g') AS path FROM pages),
- m AS (SELECT DISTINCT p.page_id, p.url, v.list FROM p JOIN v ON v.action = 'add' AND v.f <= p.day AND (v.t IS NULL OR v.t > p.day)
+ m AS (SELECT DISTINCT p.r, v.list FROM p JOIN v ON v.action = 'add' AND v.f <= p.day AND (v.t IS NULL OR v.t > p.day)
    AND (starts_with(v.entry, 'd:') AND (host = v.name OR ends_with(host, '.' || v.name)) OR starts_with(v.entry, 'p:') AND starts_with(host || path || '/', v.name || '/')))
 SELECT p.page_id, any_value(p.host) AS host, CAST(p.day AS VARCHAR) AS fetched_at, coalesce(string_agg(m.list, ',' ORDER BY m.list), '') AS lists, count(m.list) AS n_lists
-FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url GROUP BY p.page_id, p.url, p.day
+FROM p LEFT JOIN m ON p.r = m.r GROUP BY p.r, p.page_id, p.day
 """
 
 
@@ -103,18 +102,19 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
     ship(formatted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
             out = []
-            for text, starts, ends, on in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
+            spans = [[x.values.to_numpy(zero_copy_only=False) for x in b.column(i)] for i in range(2, 5)]
+            for text, starts, ends, on in zip(b.column(1).to_pylist(), *spans):
                 turns = chat.parse(text)
                 all_turns = "".join(f"{role}\n{said}\n" for role, said in turns)
-                loss = "".join(chat.unescape(x) for x in chat.covered(text, np.array(starts, np.int64), np.array(ends, np.int64), np.array(on, bool)))
+                loss = "".join(chat.unescape(x) for x in chat.covered(text, starts, ends, on.astype(bool)))
                 out.append((len(turns), hashlib.sha256(all_turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(starts)))
             cols = list(zip(*out)) if out else [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"])
 
-    return formatted.select("conv_id", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return formatted.select("conv_id", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(tidied(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
 OP1_SQL = """

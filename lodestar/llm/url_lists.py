@@ -10,8 +10,8 @@ The entries' side is broadcast only if its counted size allows; otherwise it is
 key, in which a frequent host can be split, as the other side has one row for each key.
 
 Defined results: a null or unparsable URL has no host and is on no list; a null fetch time is on no
-list; events with a null list, entry or time, or an unknown action, are ignored, as are repeated ones; rows
-that repeat id, URL and time give one row; an empty table gives an empty result; other columns are
+list; events with a null list, entry or time, or an unknown action, are ignored, as are repeated ones; each
+capture gives one row, those that repeat id, URL and time too; an empty table gives an empty result; other columns are
 ignored. URLs of any length are used as a whole; `most_segments` bounds the path prefixes looked up
 to the longest in the list, which loses nothing.
 """
@@ -61,7 +61,7 @@ def judge(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_c
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at")).withColumn("host", host_of(F.col("url")))
     # the null key is the row of the capture itself
     c = c.withColumn("key", F.explode(F.concat(keys_of(F.col("host"), F.col("url"), depth), F.array(F.lit(None).cast("string")))))
-    met = c.join(small_or_whole(by_entry, 512), "key", "left").where("key is null or lists is not null")
+    met = c.join(small_or_whole(by_entry, 64), "key", "left").where("key is null or lists is not null")
 
     def active(entry: Column) -> Column:
         latest = F.element_at(F.filter(entry["valid"], lambda v: v["valid_from"] <= F.col("at")), -1)
@@ -69,5 +69,8 @@ def judge(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_c
 
     on = F.transform(F.filter("lists", lambda x: F.when(F.exists(x["valid"], lambda v: v["valid_from"] <= F.col("at")), active(x)).otherwise(F.lit(False))), lambda x: x["list"])
     met = met.select("id", "url", "at", "host", F.when(F.col("lists").isNotNull(), on).alias("on"))
-    out = met.groupBy("id", "url", "at").agg(F.max("host").alias("host"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("on")))).alias("on"))
+    # a capture's own row (the null key) is there once for each time that the capture is
+    met = met.withColumn("_own", F.col("on").isNull())
+    out = met.groupBy("id", "url", "at").agg(F.max("host").alias("host"), F.count_if("_own").alias("_times"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("on")))).alias("on"))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return out.select(F.col("id").alias(id_col), "host", F.col("at").alias(time_col), F.array_join("on", ",").alias("lists"), F.size("on").cast("long").alias("n_lists"))
