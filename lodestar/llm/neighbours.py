@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, small_or_whole, write_table
+from .common import discard, partitions, ship, small_or_whole, tidied, write_table
 from .components import connected_components
 
 
@@ -82,7 +82,7 @@ def unit_rows(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
                 labels.append(f"{len(x)}:{label}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels, pa.string()), pa.array(units, pa.binary())], names=["id", "label", "unit"])
 
-    return v.mapInArrow(run, "id long, label string, unit binary")
+    return v.mapInArrow(tidied(run), "id long, label string, unit binary")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -165,7 +165,8 @@ def visited(x: np.ndarray, slack: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def regions(items: DataFrame, s: Settings) -> DataFrame:
     """Items by cell, each at home in one and a visitor to all others that may be home to a partner; cells over s.region are split while that helps."""
-    cells = items.withColumn("cell", F.col("label")).withColumn("home", F.lit(True)).withColumn("final", F.lit(False))
+    # a digest of the label, so that no label's cells can be named like another's
+    cells = items.withColumn("cell", F.sha2(F.col("label").cast("binary"), 256)).withColumn("home", F.lit(True)).withColumn("final", F.lit(False))
     widest = items.agg(F.coalesce(F.max("radius"), F.lit(0.0))).first()[0]
     for level in range(s.levels):
         counts = cells.where("home and not final").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > s.region)
@@ -212,7 +213,8 @@ def regions(items: DataFrame, s: Settings) -> DataFrame:
 
         done = cells.where("final")
         split = cells.where(~F.col("final")).join(small_or_whole(centroids, 64 * 8 * 256), "cell", "left")
-        cells = write_table(done.unionByName(split.mapInArrow(assigned, "item long, label string, unit binary, radius double, size long, cell string, home boolean, final boolean")), "regions")
+        old, cells = cells, write_table(done.unionByName(split.mapInArrow(tidied(assigned), "item long, label string, unit binary, radius double, size long, cell string, home boolean, final boolean")), "regions")
+        discard(old)  # a level is read only to make the next one
     return cells
 
 
@@ -431,7 +433,7 @@ def by_member(pairs: DataFrame, members: DataFrame, sizes: DataFrame, s: Setting
                     counts.append(int(n[j]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(counts, pa.int64())], names=["id", "b", "n"])
 
-    return both.join(x, "a").join(y, "b").select("b", "x", "y").mapInArrow(run, "id long, b long, n long")
+    return both.join(x, "a").join(y, "b").select("b", "x", "y").mapInArrow(tidied(run), "id long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", settings: Settings = Settings()) -> DataFrame:
@@ -441,10 +443,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     units = write_table(unit_rows(vectors, id_col, vector_col, label_col), "units")
     items = write_table(units.groupBy("label", "unit").agg(F.min("id").alias("item"), F.count("*").alias("size")).withColumn("radius", F.lit(0.0)), "items")
     owners = units.join(items.select("label", "unit", "item"), ["label", "unit"]).select("id", "unit", "item")
-    n = items.count()
+    n, rounds = items.count(), []
     for turn in range(s.rounds):
         counts = write_table(items.groupBy("label").agg(F.count("*").alias("n")), "counts")
         turned = write_table(bundle(items, counts, s, turn), "bundled")
+        rounds.append(turned)
         moved = turned.where("item <> to").select("item", "to")
         owners = owners.join(moved, "item", "left").select("id", "unit", F.coalesce("to", "item").alias("item"))
         items, before = turned.where("item = to").drop("to"), n
@@ -452,6 +455,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if n > 0.95 * before or not counts.where(F.col("n") > s.chunk).limit(1).count():
             break
     owners = write_table(owners, "owners")
+    for table in (units, *rounds[:-1]):
+        discard(table)
     cells = regions(items, s)
     crowded = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where((F.col("n") > 2 * s.region) & (F.col("homes") > 0))
     crowded = small_or_whole(write_table(crowded, "crowded"), 128)
