@@ -21,7 +21,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", node: str
     while True:
         state = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
         if tuple(state) == before or state["n"] == 0:
-            return edges.select(F.col("u").alias(node), F.col("v").alias(component)).unionByName(edges.select(F.col("v").alias(node), F.col("v").alias(component))).distinct()
+            # every node but the least has one edge now
+            roots = edges.select(F.col("v").alias(node), F.col("v").alias(component)).distinct()
+            return edges.select(F.col("u").alias(node), F.col("v").alias(component)).unionByName(roots)
         before = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

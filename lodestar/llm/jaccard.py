@@ -11,13 +11,16 @@ are fewer than the units of the segments asked for, one segment differs by less
 The larger set of a pair asks; it takes one unit from each of its cheapest segments, by the number
 of documents that hold a segment's rarest shingle, and only if its segments are too few, two units
 from the cheapest ones. Smaller sets are found in their own band and, in its upper half, in the
-next one. A set with too few units even so is looked up by each of its shingles.
+next one. A set with too few units even so meets all sets that share an element of its prefix: the
+first shingles by hash, of which similar sets share one.
 
-Signatures travel packed in blobs, one for each chunk of documents and bucket. In a bucket, each
+Signatures travel packed in blobs, one for each chunk of documents and bucket, sorted, so that a
+bucket is met range by range. Equal sets count once there (they link by their digest). Each
 group of equal signatures gives a star around its smallest id. Each member is verified first with
 the hub it met most often, and components are formed; only then are the pairs that remain, those of
 a group that are in different components, verified too, all of them. So no link between components is lost, and a group of copies never
-becomes all of its pairs. Pairs that remain must share as many segments as similar sets do.
+becomes all of its pairs. Pairs that remain must share as many segments as similar sets do: pairs
+that meet in small groups are counted there, others in bounded cells.
 
 Defined results: a text without words and a null text have an empty set and link with nothing;
 fewer words than five are one shingle; a null id has no component; rows that repeat an id give one
@@ -27,25 +30,31 @@ ignored. Whole texts of any length are used.
 
 from __future__ import annotations
 
+import itertools
 import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, small_or_whole, write_table
+from .common import discard, partitions, ship, sliced, small_or_whole, tidied, write_table
 from .components import connected_components
 
 N, ALL, TIMES = 5, 7, 3  # words in a shingle; similar sets share at least TIMES / ALL of the sum of their sizes
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-CHUNK, BLOCK = 4096, 512  # documents in a blob, and at a time in the kernels
+CHUNK, BLOCK = 4096, 512  # most documents in a blob, and at a time in the kernels
+SHINGLES = 1 << 19  # about as many in a chunk or a tile at most; longer documents are alone
+RANGE = 1 << 18  # signatures met at a time
+SMALL = 64  # sets up to this size are kept as blobs for those with too few units
 UP, INDEX, PROBE = 1 << 13, 1 << 14, 1 << 15  # a signature of the next band; one that others find; one that looks for others
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
-TILE = 512  # most members of a cluster in a tile
+FEW = 8  # members of a group up to which its pairs are counted as they are
+TILE = 256  # members of a cluster in a tile, more or less
 PIECE = 4096  # most members of a group in a row
 ROUNDS = 2  # of verifying each member with its likeliest hub
 
@@ -161,17 +170,22 @@ def signatures(sets: list[np.ndarray], heavy: np.ndarray, heavy_df: np.ndarray)
     return np.concatenate(sigs), np.concatenate(roles), np.concatenate(docs), segments
 
 
+MEASURED = "id long, n long, set_key binary, rest boolean, segments long, small binary, shingle long, df long"
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's id, set size, digest of the set and whether its units suffice; and shingles frequent in this task."""
-    names = ["id", "n", "set_key", "rest", "segments", "shingle", "df"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-    for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+    """Each row's id, set size, digest of the set, whether its units don't suffice, and a small set itself; and shingles frequent in this task."""
+    names = [x.split()[0] for x in MEASURED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    for b in sliced(batches, rows=BLOCK):
         sets = [shingles(t) for t in b.column(1).to_pylist()]
         had = [units(s) if len(s) else (0, 0, 0) for s in sets]
-        rest = [k[0] + min(k[0], k[1]) < k[2] for k in had]
+        rest = [wanting(len(s), *k) for s, k in zip(sets, had)]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        small = [s.tobytes() if 0 < len(s) <= SMALL else None for s in sets]
         none = lambda kind, n=len(sets): pa.nulls(n, kind)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(rest, pa.bool_()), pa.array([k[0] for k in had], pa.int64()), none(kinds[5]), none(kinds[6])], names=names)
+        cols = [b.column(0), list(map(len, sets)), keys, rest, [k[0] for k in had], small]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) if isinstance(c, list) else c for c, k in zip(cols, kinds)), none(kinds[6]), none(kinds[7])], names=names)
         distinct = {k: s for k, s in zip(keys, sets) if k}
         if distinct:
             every = np.sort(np.concatenate(list(distinct.values())))
@@ -179,108 +193,153 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(np.r_[starts, len(every)])
             often = n >= 4
             none = lambda kind, n=int(often.sum()): pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([*(none(k) for k in kinds[:5]), pa.array(every[starts[often]].view(np.int64)), pa.array(n[often])], names=names)
+            yield pa.RecordBatch.from_arrays([*(none(k) for k in kinds[:6]), pa.array(every[starts[often]].view(np.int64)), pa.array(n[often])], names=names)
+
+
+def wanting(n: int, have: int, several: int, need: int) -> bool:
+    """Whether a set's segments don't give the units that it needs: one each, and two of those with several elements, if their deletions are indexed."""
+    return have + (min(have, several) if n < DELETIONS_UNDER else 0) < need
 
 
 def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
-    """Signatures of a task's distinct sets, packed by bucket: 40 bits of signature, role and place in the blob's list of ids."""
+    """Signatures of a task's distinct sets, packed by bucket and sorted: 40 bits of signature, role and place in the blob's list of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         ids: list[int] = []
         sets: list[np.ndarray] = []
+        digests: list[bytes] = []
+        held = 0
 
         def packed() -> pa.RecordBatch:
             parts = [signatures(sets[i : i + BLOCK], heavy, heavy_df) for i in range(0, len(sets), BLOCK)]
             sig, role = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            doc = np.concatenate([p[2] + i * BLOCK for i, p in enumerate(parts)])
+            doc = np.concatenate([p[2] + i * BLOCK for i, p in enumerate(parts)]).astype(np.uint16)
             sizes = np.array([len(x) for x in sets]) | np.concatenate([p[3] for p in parts]) << 32
+            of = [np.array(ids, np.int64), sizes, np.frombuffer(b"".join(digests), U)]
+            del parts
             bucket = ((sig >> U(24) & U(0xFFFFFFFF)) * U(len(keys))) >> U(32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket << U(32) | sig & U(0xFFFFFFFF))
             ends = np.searchsorted(bucket[order], np.arange(len(keys) + 1, dtype=U))
-            all_ids, all_n, doc = np.array(ids, np.int64), sizes, doc.astype(np.uint16)
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in range(6)]
             for i in range(len(keys)):
                 part = order[ends[i] : ends[i + 1]]
                 if len(part):
                     used, place = np.unique(doc[part], return_inverse=True)
-                    for to, x in zip(rows, (int(keys[i]), sig[part].astype(np.uint32).tobytes() + (sig[part] >> U(56)).astype(np.uint8).tobytes(), (place.astype(np.uint16) | role[part]).tobytes(), all_ids[used].tobytes(), all_n[used].tobytes())):
+                    row = (int(keys[i]), sig[part].astype(np.uint32).tobytes() + (sig[part] >> U(56)).astype(np.uint8).tobytes(), (place.astype(np.uint16) | role[part]).tobytes(), *(x[used].tobytes() for x in of))
+                    for to, x in zip(rows, row):
                         to.append(x)
-            ids.clear()
-            sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "sigs", "places", "ids", "sizes"])
+            for x in (ids, sets, digests):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "sigs", "places", "ids", "sizes", "digests"])
 
-        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+        for b in sliced(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(text)
-                if not len(s) or doc_id is None or (k := xxhash.xxh3_128_digest(s.tobytes())) in seen:
+                if not len(s) or doc_id is None or (k := xxhash.xxh3_64_digest(s.tobytes())) in seen:
                     continue
+                if ids and held + len(s) > SHINGLES:
+                    yield packed()
+                    held = 0
                 seen.add(k)
                 ids.append(doc_id)
                 sets.append(s)
+                digests.append(k)
+                held += len(s)
                 if len(ids) == CHUNK:
                     yield packed()
+                    held = 0
         if ids:
             yield packed()
-        _WORDS.clear()  # the worker goes on to other tasks
 
     return run
 
 
+MET = "a long, b long, n long, gid long, part int, parts int, times int, ids array<long>, sizes array<long>, roles array<int>"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a bucket's groups of equal signatures: each member's likeliest hub, and the groups, each list of ids once."""
-    sig, place, ids, sizes, bucket = [], [], [], [], 0
+    blobs, bucket, total = [], 0, 0
     for b in batches:
-        for bucket, s, p, i, n in zip(*(c.to_pylist() for c in b.columns)):
+        for bucket, s, p, *of in zip(*(c.to_pylist() for c in b.columns)):
             at = np.frombuffer(p, np.uint16)
-            doc = at & np.uint16(UP - 1)
-            low, high = np.frombuffer(s, np.uint32, len(at)), np.frombuffer(s, np.uint8, len(at), 4 * len(at))
-            sig.append(low.astype(U) << U(8) | high)
-            place.append(at & np.uint16(UP | INDEX | PROBE))
-            ids.append(np.frombuffer(i, np.int64)[doc])
-            sizes.append(np.frombuffer(n, np.int64)[doc])
-    if not sig:
+            blobs.append((np.frombuffer(s, np.uint32, len(at)), np.frombuffer(s, np.uint8, len(at), 4 * len(at)), at, *(np.frombuffer(x, kind) for x, kind in zip(of, (np.int64, np.int64, U)))))
+            total += len(at)
+    ranges = max(1, -(-total // RANGE))
+    edges = ((np.arange(ranges + 1, dtype=U) << U(32)) // U(ranges))[1:-1].astype(np.uint32)
+    cuts = [np.r_[0, np.searchsorted(x[0], edges), len(x[0])] for x in blobs]
+    stars, groups = [], []
+    for r in range(ranges if blobs else 0):
+        star, group = _range_met(blobs, [c[r : r + 2] for c in cuts])
+        stars.append(star)
+        groups.append(group)
+    del blobs, cuts
+    if not groups:
         return
-    s = np.concatenate(sig)
-    order = np.argsort(s, kind="stable")
-    s = s[order]
-    twin = np.r_[False, s[1:] == s[:-1]]
-    kept = twin | np.r_[twin[1:], False]
-    order, s = order[kept], s[kept]
-    doc, n, role = np.concatenate(ids)[order], np.concatenate(sizes)[order], np.concatenate(place)[order]
-    del sig, place, ids, sizes
-    order = np.lexsort((n, doc, s))
-    doc, n, role, s = doc[order], n[order], role[order], s[order]
-    if len(s):  # one entry for each set, with all its roles
-        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])])
-        doc, n, role, s = doc[first], n[first], np.bitwise_or.reduceat(role, first), s[first]
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, int)
-    count = np.diff(np.r_[starts, len(s)])
-    probed = np.repeat(np.bitwise_or.reduceat(role, starts) & PROBE != 0, count) if len(s) else np.empty(0, bool)
-    n, k = n & 0xFFFFFFFF, n >> 32
-    hub = np.repeat(starts, count)
-    fit = (doc != doc[hub]) & near_sizes(n[hub], n) & probed & asked(role[hub], role)
-    f = np.stack([doc[hub][fit], doc[fit]])
-    # each list of ids and roles once: by two sums of hashes over the group
-    keys = [np.add.reduceat(mixed(doc.view(U) * _ODD + role.astype(U) + U(salt)), starts) for salt in (1, 2)] if len(s) else [np.empty(0, U)] * 2
-    wanted = np.flatnonzero(count > 1)
-    _, once, times = np.unique(np.stack([keys[0][wanted], keys[1][wanted], count[wanted].astype(U)]), axis=1, return_index=True, return_counts=True)
-    groups = [(f"{bucket}:{s[lo]}", doc[lo : lo + m], n[lo : lo + m] | k[lo : lo + m] << 32, role[lo : lo + m], t) for lo, m, t in zip(starts[wanted[once]].tolist(), count[wanted[once]].tolist(), times.tolist())]
-    names = ["a", "b", "n", "group_key", "times", "ids", "sizes", "roles"]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), longs, longs, ints]
+    names = [x.split()[0] for x in MET.split(", ")]
+    f = np.concatenate(stars, axis=1)
     if f.shape[1]:
         f = f[:, np.lexsort((f[0], f[1]))]
-        first = np.flatnonzero(np.r_[True, (f[:, 1:] != f[:, :-1]).any(axis=0)])
-        p, n_met = f[:, first], np.diff(np.r_[first, f.shape[1]])
+        first = np.flatnonzero(np.r_[True, (f[:2, 1:] != f[:2, :-1]).any(axis=0)])
+        p, n_met = f[:2, first], np.add.reduceat(f[2], first)
         best = np.lexsort((p[0], -n_met, p[1]))  # a member's likeliest hub here; the groups are kept for the rest
         best = best[np.r_[True, p[1][best][1:] != p[1][best][:-1]]]
-        p, n_met, m = p[:, best], n_met[best], len(best)
-        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n_met.astype(np.int64)), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, longs), pa.nulls(m, longs), pa.nulls(m, ints)], names=names)
-    pieces = [(k + "+" * (len(d) > PIECE), t, d[i : i + PIECE], m[i : i + PIECE], r[i : i + PIECE].astype(np.int32)) for k, d, m, r, t in groups for i in range(0, len(d), PIECE)]
-    for i in range(0, len(pieces), 1024):
-        some = list(zip(*pieces[i : i + 1024]))
-        m = len(some[0])
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 3, pa.array(some[0], pa.string()), pa.array(some[1], pa.int32()), pa.array(some[2], longs), pa.array(some[3], longs), pa.array(some[4], ints)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(p[0][best]), pa.array(p[1][best]), pa.array(n_met[best]), *(pa.nulls(len(best), k) for k in kinds[3:])], names=names)
+    count, keys, sig, flat, role = (np.concatenate([g[i] for g in groups], axis=-1) for i in range(5))
+    del groups, stars
+    if not len(count):
+        return
+    _, once, times = np.unique(np.vstack([keys, count.astype(U)]), axis=1, return_index=True, return_counts=True)
+    starts = np.r_[0, np.cumsum(count)[:-1]]
+    gid = mixed(sig * _ODD + U(bucket)).view(np.int64)
+    # a group of more than PIECE members takes several rows
+    parts = -(-count[once] // PIECE)
+    which, part = np.repeat(np.arange(len(once)), parts), np.concatenate([np.arange(k) for k in parts])
+    lo = starts[once][which] + part * PIECE
+    size = np.minimum(count[once][which] - part * PIECE, PIECE)
+    for i in range(0, len(which), 4096):
+        some = slice(i, i + 4096)
+        m, ends = len(which[some]), np.r_[0, np.cumsum(size[some])]
+        at = np.repeat(lo[some] - ends[:-1], size[some]) + np.arange(ends[-1])
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)) for v in (flat[0][at], flat[1][at], role[at].astype(np.int32))]
+        cols = [gid[once][which[some]], part[some].astype(np.int32), parts[which[some]].astype(np.int32), times[which[some]].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, k) for k in kinds[:3]), *(pa.array(c) for c in cols), *lists], names=names)
+
+
+def _range_met(blobs: list[tuple], cuts: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Of one range of a bucket's signatures: (hub, member, 1) by columns; and groups: sizes, two sums of hashes, signatures, members by (id, size), roles."""
+    at = [x[2][lo:hi] for x, (lo, hi) in zip(blobs, cuts)]
+    s = np.concatenate([x[0][lo:hi].astype(U) << U(8) | x[1][lo:hi] for x, (lo, hi) in zip(blobs, cuts)])
+    order = np.argsort(s)
+    twin = np.r_[False, s[order][1:] == s[order][:-1]][: len(s)]
+    order = order[twin | np.r_[twin[1:], False][: len(s)]]
+    s = s[order]
+    role = np.concatenate([x & np.uint16(UP | INDEX | PROBE) for x in at])[order]
+    doc, n, digest = (np.concatenate([x[k][a & np.uint16(UP - 1)] for x, a in zip(blobs, at)])[order] for k in (3, 4, 5))
+    order = np.lexsort((doc, digest, s))
+    doc, n, role, s, digest = doc[order], n[order], role[order], s[order], digest[order]
+    if len(s):  # one entry for each different set, with all its roles
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (digest[1:] != digest[:-1])])
+        doc, n, role, s = doc[first], n[first], np.bitwise_or.reduceat(role, first), s[first]
+        order = np.lexsort((n, doc, s))
+        doc, n, role, s = doc[order], n[order], role[order], s[order]
+        twin = np.r_[False, s[1:] == s[:-1]]
+        kept = twin | np.r_[twin[1:], False]
+        doc, n, role, s = doc[kept], n[kept], role[kept], s[kept]
+    if not len(s):
+        return np.empty((3, 0), np.int64), (np.empty(0, np.int64), np.empty((2, 0), U), np.empty(0, U), np.empty((2, 0), np.int64), role)
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    count = np.diff(np.r_[starts, len(s)])
+    probed = np.repeat(np.bitwise_or.reduceat(role, starts) & PROBE != 0, count)
+    size, hub = n & 0xFFFFFFFF, np.repeat(starts, count)
+    fit = (doc != doc[hub]) & near_sizes(size[hub], size) & probed & asked(role[hub], role)
+    star = np.stack([doc[hub][fit], doc[fit], np.ones(int(fit.sum()), np.int64)])
+    # lists of ids and roles are told apart by two sums of hashes over the group
+    keys = np.stack([np.add.reduceat(mixed(doc.view(U) * _ODD + role.astype(U) + U(salt)), starts) for salt in (1, 2)])
+    return star, (count, keys, s[starts], np.stack([doc, n]), role)
 
 
 def near_sizes(n: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -308,19 +367,20 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     roles = roles.unionByName(pairs.select("hub", "share").distinct().select(F.col("hub").alias("id"), F.struct("hub", "share", F.lit(True).alias("own")).alias("to")))
     # at most MEMBERS addresses in a row, so that neither a hub's shares nor a member's hubs make a row without bound
     roles = write_table(roles.groupBy("id", F.pmod(F.xxhash64("to"), F.lit(64)).alias("part")).agg(F.collect_list("to").alias("to")).drop("part"), "roles")
-    wanted = docs.join(small_or_whole(roles, 512), "id").select("id", "to", "text")
+    wanted = docs.join(small_or_whole(roles, 64), "id").select("id", "to", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, column=2):
             rows: list[tuple] = []
             held = 0
             for doc_id, to, text in zip(*(c.to_pylist() for c in b.columns)):
                 blob = shingles(text).tobytes()
-                rows += [(x["hub"], x["share"], not x["own"], doc_id, blob) for x in to]
-                held += len(blob) * len(to)
-                if held > 32 << 20:
-                    yield made(rows)
-                    rows, held = [], 0
+                for i in range(0, len(to), 64):
+                    rows += [(x["hub"], x["share"], not x["own"], doc_id, blob) for x in to[i : i + 64]]
+                    held += len(blob) * len(to[i : i + 64])
+                    if held > 4 << 20:
+                        yield made(rows)
+                        rows, held = [], 0
             if rows:
                 yield made(rows)
 
@@ -330,7 +390,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub_id, hubs = None, []
-        for b in batches:
+        for b in sliced(batches, column=4):
             a, c = [], []
             for hub, share, later, doc_id, blob in zip(*(x.to_pylist() for x in b.columns)):
                 s = np.frombuffer(blob, U)
@@ -343,189 +403,248 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     c.append(doc_id)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    sent = wanted.mapInArrow(sets, "hub long, share int, later boolean, id long, blob binary")
+    sent = wanted.mapInArrow(tidied(sets, _WORDS), "hub long, share int, later boolean, id long, blob binary")
     sent = sent.repartition(partitions(docs.sparkSession), "hub", "share").sortWithinPartitions("hub", "share", "later")
-    return sent.mapInArrow(compare, "a long, b long")
+    return sent.mapInArrow(tidied(compare), "a long, b long")
+
+
+def split_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
+    """The groups whose members are in more than one component c, of their members those that can have a partner there: gid, part,
+    parts, times, m (c, id, size, role, wide). wide: segments of the member, of its band, in groups of more than FEW members.
 
+    A set that is similar to one of another component shares all but n / 3 of its segments with it;
+    so its entries go if too few of its segments, of one band, are in such groups. Entries meet their
+    components in a shuffle join by id; a document has no more entries than signatures, so no id is hot.
+    """
+    where = ["gid", "part", "parts", "times"]
 
-GROUPS = "group_key string, times int, c array<long>, ids array<long>, sizes array<long>, roles array<int>"
-HELD = 2_000_000  # most components or entries that every task holds
+    def grouped(entries: DataFrame, *fields: str) -> DataFrame:
+        """Groups of one component go, unless they take several rows, whose components may differ between them."""
+        packed = entries.groupBy(*where).agg(F.collect_list(F.struct("c", "id", "size", "role", *fields)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        return packed.where("parts > 1 or lo <> hi").select(*where, "m")
 
+    entries = groups.select(*where, F.explode(F.arrays_zip("ids", "sizes", "roles")).alias("m")).select(*where, F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"), F.col("m.roles").alias("role"))
+    joined = entries.join(components.select(F.col("node").alias("id"), F.col("component_id").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    parted = write_table(grouped(joined), "split")
+    entries = parted.withColumn("few", few()).select(*where, "few", F.explode("m").alias("m")).select(*where, "few", "m.*")
+    by_band = Window.partitionBy("id", F.col("role").bitwiseAND(UP))
+    most = F.max("size").over(by_band)
+    able = entries.withColumn("able", F.sum("times").over(by_band) >= least_shared(most)).withColumn("wide", F.coalesce(F.sum(F.when(~F.col("few"), F.col("times"))).over(by_band), F.lit(0)))
+    return grouped(able.where("able"), "wide")
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches of groups with the row of each member, and where each row starts."""
-    for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
-        size = np.array([len(x) for x in b.column("ids")], np.int64)
-        yield b, np.repeat(np.arange(b.num_rows), size), np.r_[0, np.cumsum(size)[:-1]].astype(int)
 
+def few() -> Column:
+    return (F.col("parts") == 1) & (F.size("m") <= FEW)
 
-def regrouped(b: pa.RecordBatch, row: np.ndarray, keep: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    """The groups of b with the members to keep; groups of one member go, unless they are stored in several rows."""
-    whole = np.array([k.endswith("+") for k in b.column("group_key").to_pylist()], bool)
-    n = np.bincount(row[keep], minlength=b.num_rows)
-    keep = keep & ((n > 1) | (whole & (n > 0)))[row]
-    n = np.bincount(row[keep], minlength=b.num_rows)
-    rows = pa.array(np.flatnonzero(n))
-    ends = pa.array(np.r_[0, np.cumsum(n[n > 0])].astype(np.int32))
-    values = [c, *(b.column(x).flatten().to_numpy() for x in ("ids", "sizes", "roles"))]
-    return pa.RecordBatch.from_arrays([b.column("group_key").take(rows), b.column("times").take(rows), *(pa.ListArray.from_arrays(ends, pa.array(v[keep])) for v in values)], names=["group_key", "times", "c", "ids", "sizes", "roles"])
 
+def least_shared(packed: Column) -> Column:
+    """Fewest segments that a set shares with a similar one, whatever that one's size; packed: its size, and above it the number of its segments."""
+    return F.shiftright(packed, 32) - F.floor(packed.bitwiseAND(F.lit(0xFFFFFFFF)) / 3)
 
-def split_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
-    """The groups whose members are in more than one component c, of their members those that can have a partner there.
 
-    A set that is similar to one of another component shares all but n / 3 of its segments with it;
-    so its entries go if too few of its segments, of one band, are in such groups. Components, and
-    then entries, are held by the tasks if they are few enough; otherwise groups are joined with the
-    components, and no entries go.
+def passing(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Whether sets of packed sizes a and b can be similar if they share so many segments: two sets that differ in d elements differ in d segments at most."""
+    n, k, m, j = a & 0xFFFFFFFF, a >> 32, b & 0xFFFFFFFF, b >> 32
+    least = np.minimum(np.where(n >= m, k, j), np.where(m >= n, j, k)) - (n + m) // ALL
+    return near_sizes(n, m) & (shared >= least)
+
+
+def met_in_few(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a group of at most FEW members, if the segments that they share there, and
+    all that either has in larger groups, are enough.
+
+    A group gives FEW * (FEW - 1) / 2 pairs at most.
     """
-    groups = groups.select("group_key", "times", "ids", "sizes", "roles")
-    if components.limit(HELD + 1).count() > HELD:
-        members = groups.select("group_key", "times", F.posexplode(F.arrays_zip("ids", "sizes", "roles")).alias("p", "m"), "ids")
-        joined = members.join(components, F.col("m.ids") == F.col("node"), "left").select("group_key", "times", F.col("ids")[0].alias("part"), F.struct(F.coalesce("component_id", "m.ids").alias("c"), "m.*").alias("m"))
-        packed = joined.groupBy("group_key", "times", "part").agg(F.collect_list("m").alias("m")).select("group_key", "times", "m.c", "m.ids", "m.sizes", "m.roles")
-        return packed.where(F.col("group_key").endswith("+") | (F.array_min("c") != F.array_max("c")))
-    held = components.orderBy("node").toPandas()
-    nodes, of = held["node"].to_numpy(np.int64), held["component_id"].to_numpy(np.int64)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, row, starts in sliced(batches):
-            ids = b.column("ids").flatten().to_numpy()
-            at = np.minimum(np.searchsorted(nodes, ids), max(0, len(nodes) - 1))
-            c = np.where(nodes[at] == ids, of[at], ids) if len(nodes) else ids
-            # a group stored in several rows is judged later, as its rows may be in different components
-            parted = np.array([k.endswith("+") for k in b.column("group_key").to_pylist()], bool) | (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))
-            yield regrouped(b, row, parted[row], c)
-
-    parted = write_table(groups.mapInArrow(split, GROUPS), "split")
-    entries = parted.select("times", F.explode(F.arrays_zip("ids", "sizes", "roles")).alias("m")).select("times", "m.ids", "m.sizes", (F.col("m.roles").bitwiseAND(UP) != 0).alias("up"))
-    counted = entries.groupBy("ids", "up").agg(F.sum("times").alias("k"), F.max("sizes").alias("packed"))
-    least = F.shiftright("packed", 32) - F.floor(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)) / 3)
-    gone = write_table(counted.where(F.col("k") < least).select("ids", "up"), "hopeless")
-    if gone.limit(HELD + 1).count() > HELD:
-        return parted
-    frame = gone.toPandas()
-    codes = np.sort(frame["ids"].to_numpy(np.int64) * 2 + frame["up"].to_numpy(np.int64))
-
-    def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, row, _ in sliced(batches):
-            code = b.column("ids").flatten().to_numpy() * 2 + (b.column("roles").flatten().to_numpy() & UP != 0)
-            at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-            yield regrouped(b, row, codes[at] != code if len(codes) else np.ones(len(code), bool), b.column("c").flatten().to_numpy())
-
-    parted = parted.mapInArrow(dropped, GROUPS)
-    return parted.where(F.col("group_key").endswith("+") | (F.array_min("c") != F.array_max("c")))
-
-
-def cross_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links between different components within groups.
+    names = ["a", "b", "size_a", "size_b", "wide", "times", "asks"]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
+            m, times = b.column(1), b.column(0).to_numpy()
+            starts, size = np.r_[0, np.cumsum([len(x) for x in m])], np.array([len(x) for x in m])
+            c, ids, sizes, role, wide = (m.flatten().field(x).to_numpy(zero_copy_only=False) for x in range(5))
+            for n in np.unique(size):
+                i, j = np.triu_indices(n, 1)
+                row = np.flatnonzero(size == n)
+                x, y = ((starts[row][:, None] + k).ravel() for k in (i, j))
+                of = np.repeat(times[row], len(i))
+                ok = c[x] != c[y]
+                x, y, of = x[ok], y[ok], of[ok]
+                swap = ids[x] > ids[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                cols = [ids[x], ids[y], sizes[x], sizes[y], np.minimum(wide[x], wide[y]), of.astype(np.int64), asked(role[x], role[y])]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=names)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            ok = pa.array(passing(v[2], v[3], v[4] + v[5]))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    pairs = groups.where(few()).select("times", "m").mapInArrow(tidied(met), "a long, b long, size_a long, size_b long, wide long, times long, asks boolean")
+    pairs = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("wide").alias("wide"), F.sum("times").alias("times"), F.max("asks").alias("asks")).where("asks")
+    return pairs.select("a", "b", "size_a", "size_b", "wide", "times").mapInArrow(tidied(judged), "a long, b long")
+
+
+def met_in_many(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between different components that meet in groups of more than FEW members, of members that have enough segments in such groups.
 
     Groups that share members, directly or over other groups, form a cluster; a cluster is one cell,
-    or, beyond TILE members, one cell for each two of its tiles that a group spans. A cell counts the
-    segments that each two of its members share. Two sets that differ in d elements differ in d
-    segments at most, so a pair with fewer equal segments than the larger set's segments less the
-    most differences allowed isn't similar. Only the sets of pairs that pass are sent, once a cell.
+    or, beyond TILE members or SHINGLES elements of their sets, one cell for each two of its tiles that a group spans. A cell counts the
+    segments that each two of its members share there. Only the sets of pairs that pass are sent, once a cell.
     """
     spark = docs.sparkSession
-    edges = groups.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).unionByName(groups.where(F.col("group_key").endswith("+")).groupBy("group_key").agg(F.min(F.array_min("ids")).alias("a"), F.collect_set(F.array_min("ids")).alias("b")).select("a", F.explode("b").alias("b")))
+    wide = F.filter("m", lambda x: x["wide"] >= least_shared(x["size"]))
+    groups = groups.where(~few()).withColumn("m", wide).where("size(m) > 1 or (parts > 1 and size(m) > 0)")
+    groups = write_table(groups.withColumn("a", F.array_min("m.id")), "many")
+    if not groups.limit(1).count():
+        return spark.createDataFrame([], "a long, b long")
+    # the least id is a column of the stored table, so that it isn't found again for each member
+    edges = groups.select("a", F.explode("m.id").alias("b"))
+    edges = edges.unionByName(groups.where("parts > 1").groupBy("gid").agg(F.min("a").alias("least"), F.collect_set("a").alias("b")).select(F.col("least").alias("a"), F.explode("b").alias("b")))
     clusters = write_table(connected_components(edges, node="id", component="cluster"), "clusters")
-    tiles = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    placed = groups.withColumn("id", F.array_min("ids")).join(clusters, "id").join(tiles, "cluster")
-    single = placed.where("tiles = 1 and not endswith(group_key, '+')").select(F.col("cluster").cast("string").alias("cell"), "times", "c", "ids", "sizes", "roles")
-    large = placed.where("tiles > 1 or endswith(group_key, '+')").select("cluster", "tiles", "group_key", "times", F.explode(F.arrays_zip("c", "ids", "sizes", "roles")).alias("m")).withColumn("tile", F.pmod(F.xxhash64("m.ids"), F.col("tiles")))
-    spans = large.groupBy("group_key").agg(F.collect_set("tile").alias("others"))
-    large = large.join(spans, "group_key").withColumn("other", F.explode("others"))
+    sizes = groups.select(F.explode("m").alias("m")).groupBy(F.col("m.id").alias("id")).agg(F.max(F.col("m.size").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n"))
+    tiles = clusters.join(sizes, "id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / SHINGLES)).alias("tiles"))
+    placed = groups.withColumnRenamed("a", "id").join(clusters, "id").join(tiles, "cluster")
+    single = placed.where("tiles = 1 and parts = 1").select(F.col("cluster").cast("string").alias("cell"), "times", "m")
+    large = placed.where("tiles > 1 or parts > 1").select("cluster", "tiles", "gid", "times", F.explode("m").alias("m")).withColumn("tile", F.pmod(F.xxhash64("m.id"), F.col("tiles")))
+    spans = large.groupBy("gid").agg(F.collect_set("tile").alias("others"))
+    large = large.join(spans, "gid").withColumn("other", F.explode("others"))
     cell = F.concat_ws(":", "cluster", F.least("tile", "other"), F.greatest("tile", "other"))
-    large = large.groupBy(cell.alias("cell"), "group_key", "times").agg(F.collect_list("m").alias("m")).select("cell", "times", "m.c", "m.ids", "m.sizes", "m.roles")
-    dealt = single.unionByName(large).repartition(partitions(spark), "cell").sortWithinPartitions("cell")
+    large = large.groupBy(cell.alias("cell"), "gid", "times").agg(F.collect_list("m").alias("m")).select("cell", "times", "m")
+    dealt = single.unionByName(large).select("cell", "times", "m.c", "m.id", "m.size", F.col("m.role").cast("array<long>").alias("role"))
+    dealt = dealt.repartition(partitions(spark), "cell").sortWithinPartitions("cell")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in by_cell(batches):
-            a, b = passing(rows)
+        at, cell = None, Cell()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            a, b = cell.passing()
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(a)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(a)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
 
-    pairs = write_table(dealt.mapInArrow(count, "cell string, a long, b long"), "passing")
+        for whole in batches:
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                names, times = b.column(0).to_pylist(), b.column(1).to_numpy()
+                size = pc.list_value_length(b.column(2)).to_numpy()
+                flat, ends = [b.column(i).flatten().to_numpy() for i in range(2, 6)], np.r_[0, np.cumsum(size)]
+                cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if names[lo] != at:
+                        yield from done()
+                        at, cell = names[lo], Cell()
+                    cell.add(times[lo:hi], size[lo:hi], *(x[ends[lo] : ends[hi]] for x in flat))
+        yield from done()
+
+    pairs = write_table(dealt.mapInArrow(tidied(count), "cell string, a long, b long"), "passing")
     cells = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("id", F.pmod(F.xxhash64("cell"), F.lit(64)).alias("part")).agg(F.collect_list("cell").alias("cells"))
-    wanted = docs.join(small_or_whole(write_table(cells.drop("part"), "cells"), 256), "id").select("id", "cells", "text")
+    wanted = docs.join(small_or_whole(write_table(cells.drop("part"), "cells"), 64), "id").select("id", "cells", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                rows = [(cell, doc_id, None, blob) for doc_id, to, text in zip(*(x.to_pylist() for x in b.columns)) for blob in [shingles(text).tobytes()] for cell in to]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["cell", "a", "b", "blob"])
+        for b in sliced(batches, column=2):
+            for doc_id, to, text in zip(*(x.to_pylist() for x in b.columns)):
+                blob = shingles(text).tobytes()
+                at_once = max(1, (4 << 20) // max(1, len(blob)))
+                for i in range(0, len(to), at_once):
+                    m = len(to[i : i + at_once])
+                    yield pa.RecordBatch.from_arrays([pa.array(to[i : i + at_once]), pa.array([doc_id] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([blob] * m, pa.binary())], names=["cell", "a", "b", "blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_cell(batches):
+        for _, some in by_cell(batches, column=3):
+            rows = [r for part in some for r in part]
             yield from linked([(r[1], np.frombuffer(r[3], U)) for r in rows if r[3] is not None], [r[1:3] for r in rows if r[3] is None])
 
-    sent = wanted.mapInArrow(sets, "cell string, a long, b long, blob binary").unionByName(pairs.withColumn("blob", F.lit(None).cast("binary")))
-    return sent.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
-
-
-def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]]]:
-    """Runs of rows with an equal first column."""
-    at, held = None, []
-    for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-        for row in zip(*(x.to_pylist() for x in b.columns)):
-            if row[0] != at and held:
-                yield at, held
-                held = []
-            at = row[0]
-            held.append(tuple(np.array(x, np.int64) if isinstance(x, list) else x for x in row))
-    if held:
-        yield at, held
-
-
-def passing(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Of one cell's groups (cell, times, c, ids, sizes, roles): the pairs that were asked for and share segments enough."""
-    size = np.array([len(r[3]) for r in rows])
-    flat = [np.concatenate([np.asarray(r[x], np.int64) for r in rows]) for x in (2, 3, 4, 5)]
-    ids, place = np.unique(flat[1], return_inverse=True)
-    c, packed = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    c[place], packed[place] = flat[0], flat[2]
-    shared, wanted = np.zeros((len(ids), len(ids)), np.int32), np.zeros((len(ids), len(ids)), bool)
-    lo = 0
-    for r, hi in zip(rows, np.cumsum(size)):
-        at, role = place[lo:hi], flat[3][lo:hi]
-        lo = hi
-        both = np.ix_(at, at)
-        shared[both] += r[1]
-        wanted[both] |= asked(role[:, None], role)
-    i, j = np.nonzero(np.triu(wanted, 1) & (c[:, None] != c))
-    n, k = packed & 0xFFFFFFFF, packed >> 32
-    least = np.minimum(np.where(n[i] >= n[j], k[i], k[j]), np.where(n[j] >= n[i], k[j], k[i])) - (n[i] + n[j]) // ALL
-    ok = near_sizes(n[i], n[j]) & (shared[i, j] >= least)
-    return ids[i[ok]], ids[j[ok]]
-
-
-def linked(sets: list[tuple[int, np.ndarray]], pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Those of a cell's pairs whose sets are similar; an id may have more than one set."""
+    sent = wanted.mapInArrow(tidied(sets, _WORDS), "cell string, a long, b long, blob binary").unionByName(pairs.withColumn("blob", F.lit(None).cast("binary")))
+    return sent.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(tidied(compare), "a long, b long")
+
+
+def by_cell(batches: Iterator[pa.RecordBatch], column: int | None = None, most: int = 4096) -> Iterator[tuple[str, Iterator[list[tuple]]]]:
+    """Runs of rows with an equal first column, each as lists of at most `most` rows, to be used up in order."""
+    cut = sliced(batches, column, 256) if column is not None else (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256))
+    rows = (row for b in cut for row in zip(*(x.to_pylist() for x in b.columns)))
+    for name, run in itertools.groupby(rows, key=lambda r: r[0]):
+        yield name, itertools.takewhile(bool, (list(itertools.islice(run, most)) for _ in itertools.count()))
+
+
+class Cell:
+    """Counts the segments that each two of a cell's members share."""
+
+    def __init__(self) -> None:
+        self.place: dict[int, int] = {}
+        self.c, self.packed = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.shared, self.wanted = np.zeros((0, 0), np.int32), np.zeros((0, 0), bool)
+
+    def _grow(self, n: int) -> None:
+        old, size = len(self.c), max(n, 2 * len(self.c), 16)
+        self.c, self.packed = (np.r_[x, np.zeros(size - old, np.int64)] for x in (self.c, self.packed))
+        for name in ("shared", "wanted"):
+            x = getattr(self, name)
+            y = np.zeros((size, size), x.dtype)
+            y[:old, :old] = x
+            setattr(self, name, y)
+
+    def add(self, times: np.ndarray, size: np.ndarray, c: np.ndarray, ids: np.ndarray, sizes: np.ndarray, role: np.ndarray) -> None:
+        """Groups of the cell: their times and sizes, and the members of one after another."""
+        some, at = np.unique(ids, return_inverse=True)
+        at = np.fromiter((self.place.setdefault(i, len(self.place)) for i in some.tolist()), np.int64, len(some))[at]
+        if len(self.place) > len(self.c):
+            self._grow(len(self.place))
+        self.c[at], self.packed[at] = c, sizes
+        starts, width = np.r_[0, np.cumsum(size)], len(self.c)
+        shared, wanted = self.shared.reshape(-1), self.wanted.reshape(-1)
+        for n in np.unique(size):
+            i, j = np.triu_indices(n, 1)
+            at_once = max(1, RANGE // max(1, len(i)))
+            rows = np.flatnonzero(size == n)
+            for lo in range(0, len(rows), at_once):
+                row = rows[lo : lo + at_once]
+                x, y = ((starts[row][:, None] + k).ravel() for k in (i, j))
+                cell = np.minimum(at[x], at[y]) * width + np.maximum(at[x], at[y])
+                np.add.at(shared, cell, np.repeat(times[row], len(i)).astype(np.int32))
+                wanted[cell[asked(role[x], role[y])]] = True
+
+    def passing(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of different components that were asked for and share segments enough."""
+        m = len(self.place)
+        ids, c, packed = np.fromiter(self.place, np.int64, m), self.c[:m], self.packed[:m]
+        i, j = np.nonzero(self.wanted[:m, :m] & (c[:, None] != c))
+        ok = passing(packed[i], packed[j], self.shared[i, j])
+        return np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])
+
+
+def linked(sets: list[tuple[int, np.ndarray]], pairs: list[tuple[int, int]], at_once: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Those of a cell's pairs whose sets are similar; an id may have more than one set. About at_once elements are compared at a time."""
     if not sets or not pairs:
         return
-    sets = sorted(sets, key=lambda x: x[0])
-    owner, size = np.array([i for i, _ in sets]), np.array([len(s) for _, s in sets])
-    _, codes = np.unique(np.concatenate([s for _, s in sets]), return_inverse=True)
-    ends = np.cumsum(size)
-    flag = np.zeros(codes.max() + 1, bool)
-    a, b = np.array(pairs).T
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    of: dict[int, list[np.ndarray]] = {}
+    for i, s in sets:
+        of.setdefault(i, []).append(s)
+    partners: dict[int, set[int]] = {}
+    for a, b in pairs:
+        partners.setdefault(a, set()).add(b)
     found: tuple[list, list] = [], []
-    for t, (i, s) in enumerate(sets):
-        others = b[np.searchsorted(a, i) : np.searchsorted(a, i, side="right")]
-        partners = np.flatnonzero(np.isin(owner, others))
-        if not len(partners):
-            continue
-        mine = codes[ends[t] - size[t] : ends[t]]
-        flag[mine] = True
-        picked = np.concatenate([codes[ends[p] - size[p] : ends[p]] for p in partners])
-        shared = np.add.reduceat(flag[picked].astype(np.int64), np.r_[0, np.cumsum(size[partners])[:-1]])
-        flag[mine] = False
-        for p in partners[100 * shared >= 75 * (len(s) + size[partners] - shared)]:
-            found[0].append(i)
-            found[1].append(int(owner[p]))
+
+    def compare(a: int, s: np.ndarray, others: list[tuple[int, np.ndarray]]) -> None:
+        size = np.array([len(x) for _, x in others])
+        picked = np.concatenate([x for _, x in others])
+        at = np.minimum(np.searchsorted(s, picked), len(s) - 1)
+        shared = np.add.reduceat((s[at] == picked).astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
+        for k in np.flatnonzero(100 * shared >= 75 * (len(s) + size - shared)):
+            found[0].append(a)
+            found[1].append(others[k][0])
+
+    for a, every in partners.items():
+        for s in of.get(a, ()):
+            others, held = [], 0
+            for b in sorted(every):
+                for x in of.get(b, ()):
+                    others.append((b, x))
+                    held += len(x)
+                    if held >= at_once:
+                        compare(a, s, others)
+                        others, held = [], 0
+            if others:
+                compare(a, s, others)
     if found[0]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
@@ -537,20 +656,36 @@ def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def by_every_shingle(docs: DataFrame, rest: DataFrame) -> DataFrame:
-    """Pairs of the sets in rest (id, n) with all sets of a fitting size that share a shingle with them."""
-    lo, hi = rest.agg(F.min("n"), F.max("n")).first()
+def prefix(n: int) -> int:
+    """How many of a set's first elements (in one order for all) hold one of those shared with any similar set."""
+    return n - (3 * n + 3) // 4 + 1
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(text)
-                if doc_id is not None and len(s) and 4 * len(s) >= 3 * lo and 3 * len(s) <= 4 * hi:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array([len(s)] * len(s), pa.int64()), pa.array(s.view(np.int64))], names=["id", "n", "shingle"])
 
-    every = write_table(docs.mapInArrow(tokens, "id long, n long, shingle long"), "shingles")
-    asking = every.join(small_or_whole(rest, 32), ["id", "n"], "left_semi").select(F.col("id").alias("x"), F.col("n").alias("xn"), "shingle")
-    met = every.join(asking, "shingle").where("id <> x and 4 * least(n, xn) >= 3 * greatest(n, xn)")
+def by_prefix(docs: DataFrame, measured: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs of the sets in rest (set_key, id, n) with all sets of a fitting size that share an element of their prefixes with them.
+
+    Equal sets count once, by their smallest id.
+    """
+    lo, hi = rest.agg(F.min("n"), F.max("n")).first()
+    fitting = f"4 * n >= {3 * lo} and 3 * n <= {4 * hi} and id is not null"
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["set_key", "id", "n", "shingle"]
+        for b in sliced(batches, column=1):
+            rows = [(i, np.frombuffer(x, U)) if isinstance(x, bytes) else (i, shingles(x)) for i, x in zip(*(c.to_pylist() for c in b.columns)) if i is not None and x]
+            rows = [(i, s) for i, s in rows if len(s) and 4 * len(s) >= 3 * lo and 3 * len(s) <= 4 * hi]
+            if rows:
+                keys, sizes = [xxhash.xxh3_128_digest(s.tobytes()) for _, s in rows], np.array([len(s) for _, s in rows])
+                counts = np.array([prefix(n) for n in sizes.tolist()])
+                each = np.repeat(np.arange(len(rows)), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(each)), pa.array(np.array([i for i, _ in rows])[each]), pa.array(sizes[each]), pa.array(np.concatenate([s[:k] for (_, s), k in zip(rows, counts)]).view(np.int64))], names=names)
+
+    # small sets were kept; only if larger ones are asked for are the texts read again
+    source = measured.where(fitting).select("id", "small") if 4 * hi <= 3 * SMALL else docs
+    every = source.mapInArrow(tidied(elements, _WORDS), "set_key binary, id long, n long, shingle long")
+    every = write_table(every.groupBy("set_key", "n", "shingle").agg(F.min("id").alias("id")), "shingles")
+    asking = every.join(small_or_whole(rest.select("set_key"), 64), "set_key", "left_semi").select(F.col("set_key").alias("x_key"), F.col("id").alias("x"), F.col("n").alias("xn"), "shingle")
+    met = every.join(asking, "shingle").where("set_key <> x_key and id <> x and 4 * least(n, xn) >= 3 * greatest(n, xn)")
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
@@ -573,41 +708,48 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Measured rows (id, n), and links (a, b) that join every set with all sets similar to it, directly or over other links."""
     spark = ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    measured = write_table(d.mapInArrow(_measure, "id long, n long, set_key binary, rest boolean, segments long, shingle long, df long"), "measured")
+    measured = write_table(d.mapInArrow(tidied(_measure, _WORDS), MEASURED), "measured")
     rows = measured.where("shingle is null")
+    known = rows.where("set_key is not null and id is not null")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # sets with too few units, and ids that repeat, as a set's size and segments are then not the id's
-    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("k"), F.max("rest").alias("rest")).where("k > 1 or rest").select("id")
-    rest = write_table(rows.where("n > 0").join(repeated, "id", "left_semi").select("id", "n").distinct(), "rest")
-    same = rows.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    copies = rows.where("set_key is not null and id is not null").join(same, "set_key").where("id <> a").select("a", F.col("id").alias("b"))
+    repeated = known.groupBy("id").agg(F.count("*").alias("k"), F.max("rest").alias("rest")).where("k > 1 or rest").select("id")
+    rest = write_table(known.join(repeated, "id", "left_semi").groupBy("set_key", "n").agg(F.min("id").alias("id")), "rest")
+    same = known.groupBy("set_key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
+    copies = known.join(same, "set_key").where("id <> a").select("a", F.col("id").alias("b"))
 
     buckets = max(partitions(spark), int(total * 0.7 / 1_500_000) + 1)
-    packed = d.mapInArrow(_packer(*heavy_shingles(measured), bucket_keys(spark, buckets)), "bucket long, sigs binary, places binary, ids binary, sizes binary")
-    met = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, group_key string, times int, ids array<long>, sizes array<long>, roles array<int>")
-    met = write_table(met, "met")
-    pairs = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = write_table(pairs, "candidates")
+    packed = d.mapInArrow(tidied(_packer(*heavy_shingles(measured), bucket_keys(spark, buckets)), _WORDS), "bucket long, sigs binary, places binary, ids binary, sizes binary, digests binary")
+    met = write_table(packed.repartition(buckets, "bucket").mapInArrow(tidied(_meet), MET), "met")
+    pairs = write_table(met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n")), "candidates")
     links = write_table(copies, "similar")
     if rest.limit(1).count():
-        links = links.unionByName(write_table(verified(d, write_table(by_every_shingle(d, rest), "rest")), "similar"))
+        links = links.unionByName(write_table(verified(d, write_table(by_prefix(d, measured, rest), "rest")), "similar"))
+    found = connected_components(links)
     for _ in range(ROUNDS):
-        pairs = write_table(apart(pairs, connected_components(links)), "candidates")
+        pairs = write_table(apart(pairs, found), "candidates")
         # a hub met once or twice is hardly similar; such pairs are left to the count of all their segments
         best = pairs.where(F.col("n") >= 3).groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
         best = write_table(best, "best")
         if not best.limit(1).count():
             break
         pairs = pairs.join(best, ["a", "b"], "left_anti")
-        links = links.unionByName(write_table(verified(d, best), "similar"))
-    found = write_table(connected_components(links), "components")
-    groups = met.where("ids is not null").select("group_key", "times", "ids", "sizes", "roles")
-    groups = write_table(split_groups(groups, found), "groups")
-    if groups.limit(1).count():
-        links = links.unionByName(write_table(cross_links(d, groups), "similar"))
+        more = write_table(verified(d, best), "similar")
+        if more.limit(1).count():
+            found = connected_components(as_links(found).unionByName(more))
+    groups = write_table(split_groups(met.where("ids is not null"), found), "groups")
+    discard(met)
+    links = as_links(found)
+    for more in (verified(d, write_table(met_in_few(groups), "few")), met_in_many(d, groups)):
+        links = links.unionByName(write_table(more, "similar"))
     return rows, links
 
 
+def as_links(components: DataFrame) -> DataFrame:
+    """Each node's link to the smallest node of its component: joins what was joined."""
+    return components.where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, n_shingles (set size) and component_id (smallest id reachable by links, itself included)."""
     rows, links = jaccard_links(docs, id_col, text_col)
@@ -616,12 +758,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, same columns, with one document (the smallest id) of each group of similar ones; of repeated ids one row."""
-    groups = write_table(jaccard_components(docs, id_col, text_col), "groups")
-    gone = write_table(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct(), "gone")
-    kept = docs.join(small_or_whole(gone, 16), id_col, "left_anti").select(*docs.columns)
-    repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    if repeated.limit(1).count():
-        once = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = once.unionByName(kept.where(F.col(id_col).isNull()))
-    return kept
+    """docs, same columns, with one document (the smallest id, then the smallest hash of the text) of each group of similar ones.
+
+    Rows that repeat an id count as documents of their own if their texts differ, and as one if not. Rows without an id stay.
+    """
+    repeated = write_table(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    if not repeated.limit(1).count():
+        groups = jaccard_components(docs, id_col, text_col)
+        gone = write_table(groups.where(F.col(id_col) != F.col("component_id")).select(id_col), "gone")
+        return docs.join(small_or_whole(gone, 16), id_col, "left_anti").select(*docs.columns)
+    # a number of its own for each text of a repeated id, in place of the id
+    text_hash = F.xxhash64(F.lit(1), text_col)
+    many = docs.join(small_or_whole(repeated, 16), F.col(id_col) == F.col("_id"), "left")
+    nodes = many.withColumn("_node", F.when(F.col("_id").isNull(), F.col(id_col).cast("long")).otherwise(F.xxhash64(id_col, text_hash)))
+    groups = jaccard_components(nodes.select("_node", text_col), "_node", text_col).distinct()
+    order = nodes.select("_node", F.struct(F.col(id_col).alias("i"), text_hash.alias("h")).alias("o")).where("_node is not null").distinct()
+    placed = write_table(order.join(groups, "_node"), "placed")
+    first = placed.groupBy("component_id").agg(F.min_by("_node", "o").alias("first"))
+    gone = write_table(placed.join(first, "component_id").where("_node <> first").select("_node"), "gone")
+    kept = nodes.join(small_or_whole(gone, 16), "_node", "left_anti")
+    twice = kept.where("_id is not null").groupBy("_node").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return kept.where("_id is null").select(*docs.columns).unionByName(twice)
