@@ -55,6 +55,73 @@ def test_novelty_reports_what_is_incompressible_near_a_sensitive_word():
     assert find(f"key {known}") == [known] and find(f"{known} {known} again, key {known}")[1:] == []
 
 
+LETTERS = {"lower": "abcdefghijklmnopqrstuvwxyz", "mixed": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+NAMES = ["getUserNameFromRequest", "getConnectionManager2Factory0", "/usr/lib/python3.13/site-packages/pkg2/mod9.py", "com.company.project.Module", "AbstractSingletonProxyFactoryBean", "authentication_provider_v2", "session_timeout_seconds", "/etc/ssl/private/server.key", "https://docs.example.org/guide/index.html", "ada.lovelace@mail.example.com", "UserIdToAuthTokenMap"]
+
+
+def planted(seed, n=40):
+    rng = random.Random(seed)
+    out = []
+    for letters in LETTERS.values():
+        for _ in range(n):
+            known = "".join(rng.choice(letters) for _ in range(rng.choice([18, 24, 40, 90])))
+            out.append((f"lorem ipsum {rng.choice(['bearer', 'private key', 'the cookie'])} {known} dolor", known))
+    return out
+
+
+def test_novelty_finds_random_strings_of_any_letters_and_leaves_names():
+    found = [any(k == 3 and abs(e - s - len(known)) <= 2 and known.startswith(text[s:e][:16]) for s, k, e in secrets.scan(text)[1]) for text, known in planted(5)]
+    assert np.mean(found) >= 0.98
+    for name in NAMES:
+        assert not [x for x in secrets.scan(f"the secret key {name} and so on")[1] if x[1] == 3], name
+    assert [(s, e) for s, k, e in secrets.scan("key Zx8Qw1Lm9Vt4Rk7Pb2Ns.")[1]] == [(4, 24)]
+
+
+def marginal(part, around, known):
+    import zstandard
+
+    d = zstandard.ZstdCompressionDict(known.primed + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(x))
+    return size(part.encode()) - size(b"")
+
+
+def test_novel_spans_by_brute_force(documents):
+    """Every run of key-like characters of every text, judged from the definition, with identifiers counted here."""
+    from collections import Counter
+
+    rng = random.Random(6)
+    texts = [t for t, _ in planted(7, 6)] * 3 + [f"secret {rng.choice(NAMES)} is {' '.join(rng.choice(['alpha', 'gamma', 'getUser', 'omega']) for _ in range(9))} key" for _ in range(40)] + HARD
+    docs = documents(list(enumerate(texts)))
+    known = secrets.fit_identifiers(docs)
+    words = Counter(w for t in texts if t for w in (x.rstrip(".") for x in re.split("[^A-Za-z0-9+/_=.-]+", t)) if 4 <= len(w) <= 15 and re.fullmatch("[A-Za-z]+", w))
+    top = sorted(words, key=lambda w: (-words[w], w))[:4096]
+    assert known.primed == secrets.Identifiers.of(top).primed and known.triples == secrets.Identifiers.of(top).triples
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    sensitive = "auth bearer cert cookie cred key login pass private pwd secret session sign token".split()
+    near = lambda t: any(w in t.lower() for w in sensitive)
+    reported = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = secrets.base_spans(t)
+        expected = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", t):
+            s, e = m.start(), m.start() + len(m[0].rstrip("./-"))
+            if len(m[0]) < 16 or "=" in m[0] or e - s < 16 or t[s - 1 : s] == "@" or any(a < e and s < b for a, _, b in base):
+                continue
+            parts = [w.lower() for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", t[s:e]) if len(w) >= 3]
+            triples = [w[j : j + 3] for w in parts for j in range(len(w) - 2)]
+            name = triples and sum(map(len, parts)) + sum(not c.isalnum() for c in t[s:e]) >= 0.6 * (e - s) and sum(x in known.triples for x in triples) >= 0.6 * len(triples)
+            around = t[max(0, s - 256) : s] + " " + t[e : e + 256]
+            pieces_of = -(-(e - s) // 60)
+            cuts = [s + (e - s) * j // pieces_of for j in range(pieces_of + 1)]
+            cost = sum(marginal(t[a:b], around + t[max(s, a - 4096) : a], known) for a, b in zip(cuts, cuts[1:])) / (e - s)
+            if not name and (near(t[max(0, s - 48) : s]) or near(t[e : e + 48])) and cost >= 0.9:
+                expected.append(f"novel:{s}:{e}")
+        assert [x for x in got[i].split(",") if x.startswith("novel")] == expected
+        reported += len(expected)
+    assert reported >= 3 * 29
+
+
 def test_novelty_does_not_depend_on_length():
     rng = random.Random(3)
     for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
@@ -116,6 +183,42 @@ def test_language_on_rows_it_never_learned_from(documents):
     assert kept.dtypes == docs.dtypes and kept.count() == sum(not r["rejected"] for r in got.values())
 
 
+def test_predictions_equal_a_plain_forward_pass(documents):
+    """The model's table applied gram by gram, without arrays."""
+    import math
+
+    rows_ = labelled(200, 3) + [(7001, "Ünder  99 the\tsea", "en")]
+    docs = documents(rows_)
+    model = language.fit(docs)
+
+    def bucket(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ (ord(c) * 0x9E3779B1 & 0xFFFFFFFF)
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - language.BUCKET_BITS)
+
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    for i, text, _ in rows_:
+        t = " " + re.sub(r"(\W|\d|_)+", " ", text.lower()) + " "
+        every = [bucket(t[j : j + n]) for n in (2, 3, 4) for j in range(len(t) - n + 1)]
+        z = [sum(float(model.logits[g, k]) for g in every) / len(every) / model.temperature for k in range(len(model.languages))]
+        p = [math.exp(x - max(z)) for x in z]
+        assert got[i]["lang_pred"] == model.languages[p.index(max(p))] and got[i]["score"] == pytest.approx(max(p) / sum(p), abs=1e-5)
+
+
+def test_symbols_above_the_basic_plane_are_no_letters(documents):
+    model = language.fit(documents(labelled(200, 3)))
+    rows_ = [(1, "😀😀 12 !!", None), (2, "🜁🜂𝟙𝟚 🂡", None), (3, "😀 the of and", None), (4, "𐐨𐐩 𝒜", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language.identify(documents(rows_), model).collect()}
+    assert got[1] == got[2] == ("und", True) and got[3][0] == "en" and got[4][0] != "und"
+
+
+def test_many_languages_share_the_sample(documents, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 40)
+    docs = documents([(i, f"word{i % 30} text", f"l{i % 30:02}") for i in range(300)])
+    assert len(language.fit(docs).languages) >= 15
+
+
 def test_language_of_nothing(documents):
     empty = documents([(1, "x", None)]).limit(0)
     assert language.identify(empty, language.fit(empty)).count() == 0
