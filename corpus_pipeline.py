@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import contamination, jaccard, language, pieces, secrets
-from lodestar.llm.common import read_table, write_table
+from lodestar.llm.common import made_so_far, read_table, release, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents; each result but the last is written to the shared folder and read again.
+
+    Once a stage's result is stored, the tables that it was made from go.
+    """
+    docs, mark = read_table(spark, sf_dir, "documents"), made_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name)
+        release(spark, since=mark, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
