@@ -109,12 +109,12 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
                 turns = chat.parse(text)
                 all_turns = "".join(f"{role}\n{said}\n" for role, said in turns)
                 loss = "".join(chat.unescape(x) for x in chat.covered(text, starts, ends, on.astype(bool)))
-                out.append((len(turns), hashlib.sha256(all_turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(starts)))
-            cols = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"])
+                out.append((len(turns), hashlib.sha256(all_turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(tidied(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return formatted.select("conv_id", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(tidied(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 OP1_SQL = """
@@ -141,9 +141,21 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d J
 """
 
 
+#: What the digests must be, from the rows alone; only formatted_chars depends on the template: its marks, line feeds and escapes.
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ t AS (SELECT conv_id, turn, role AS r, text AS x, coalesce(role, '') AS role, coalesce(text, '') AS text, chr(92) AS b FROM c),
+ f AS (SELECT *, replace(replace(role, b, b || b), '<|', '<' || b || '|') AS er, replace(replace(text, b, b || b), '<|', '<' || b || '|') AS et FROM t),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) AS said,
+   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST), '') AS loss,
+   CAST(sum(8 + length(replace(er, chr(10), b || 'n')) + 1 + length(et) + 7 + 1) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_substring_dedup, op5_url_lists, op6_jaccard_join, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op5_url_lists": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_decontamination": contamination.ORACLE}
+    return {"op1_embedding_dedup": OP1_SQL, "op5_url_lists": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_decontamination": contamination.ORACLE, "op10_chat_format": OP10_SQL}
