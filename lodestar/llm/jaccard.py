@@ -453,15 +453,16 @@ def met_in_few(groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that meet in a group of at most FEW members, if the segments that they share there, and
     all that either has in larger groups, are enough.
 
+    Whether they look for each other doesn't matter here: the segment that one asks for may be in a larger group.
     A group gives FEW * (FEW - 1) / 2 pairs at most.
     """
-    names = ["a", "b", "size_a", "size_b", "wide", "times", "asks"]
+    names = ["a", "b", "size_a", "size_b", "wide", "times"]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
             m, times = b.column(1), b.column(0).to_numpy()
             starts, size = np.r_[0, np.cumsum([len(x) for x in m])], np.array([len(x) for x in m])
-            c, ids, sizes, role, wide = (m.flatten().field(x).to_numpy(zero_copy_only=False) for x in range(5))
+            c, ids, sizes, wide = (m.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("c", "id", "size", "wide"))
             for n in np.unique(size):
                 i, j = np.triu_indices(n, 1)
                 row = np.flatnonzero(size == n)
@@ -471,7 +472,7 @@ def met_in_few(groups: DataFrame) -> DataFrame:
                 x, y, of = x[ok], y[ok], of[ok]
                 swap = ids[x] > ids[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                cols = [ids[x], ids[y], sizes[x], sizes[y], np.minimum(wide[x], wide[y]), of.astype(np.int64), asked(role[x], role[y])]
+                cols = [ids[x], ids[y], sizes[x], sizes[y], np.minimum(wide[x], wide[y]), of.astype(np.int64)]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=names)
 
@@ -481,9 +482,9 @@ def met_in_few(groups: DataFrame) -> DataFrame:
             ok = pa.array(passing(v[2], v[3], v[4] + v[5]))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    pairs = groups.where(few()).select("times", "m").mapInArrow(tidied(met), "a long, b long, size_a long, size_b long, wide long, times long, asks boolean")
-    pairs = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("wide").alias("wide"), F.sum("times").alias("times"), F.max("asks").alias("asks")).where("asks")
-    return pairs.select("a", "b", "size_a", "size_b", "wide", "times").mapInArrow(tidied(judged), "a long, b long")
+    pairs = groups.where(few()).select("times", "m").mapInArrow(tidied(met), "a long, b long, size_a long, size_b long, wide long, times long")
+    pairs = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("wide").alias("wide"), F.sum("times").alias("times"))
+    return pairs.mapInArrow(tidied(judged), "a long, b long")
 
 
 def met_in_many(docs: DataFrame, groups: DataFrame) -> DataFrame:
