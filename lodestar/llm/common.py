@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import shipping
 
 #: Rows and bytes of an Arrow batch between Spark and Python, unless the session sets them: a worker and its executor hold one or two.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 #: A side is broadcast only if its counted rows times its row width stay under this many bytes.
 BROADCAST_BYTES = 64 << 20
@@ -47,6 +48,8 @@ def tidied(run: Callable[[Batches], Batches], *caches: dict) -> Callable[[Batche
         finally:
             for c in caches:
                 c.clear()
+            if caches:
+                gc.collect()  # what a cache held may be in cycles
             trim()
 
     return tidy

@@ -29,7 +29,7 @@ from .common import ship, sliced, tidied, tokenizer_path
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-KEEP_UNITS, KEEP_PAIRS, KEEP_LENGTH = 500_000, 1_000_000, 32
+KEEP_UNITS, KEEP_PAIRS, KEEP_LENGTH = 200_000, 500_000, 32
 ROWS = 512  # encoded at a time, so that a batch's ids aren't all held
 
 
