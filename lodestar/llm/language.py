@@ -72,7 +72,11 @@ class Model:
         g = grams(text)
         if not len(g) or not self.languages:
             return "und", 0.0
-        z = self.logits[g].mean(axis=0, dtype=np.float64) / self.temperature
+        if len(g) < 1 << BUCKET_BITS:
+            z = self.logits[g].mean(axis=0, dtype=np.float64)
+        else:  # a long text's buckets are counted, not looked up one by one
+            z = np.bincount(g, minlength=len(self.logits)) @ self.logits.astype(np.float64) / len(g)
+        z = z / self.temperature
         p = np.exp(z - z.max())
         k = int(p.argmax())
         return self.languages[k], float(p[k] / p.sum())

@@ -187,7 +187,7 @@ def test_predictions_equal_a_plain_forward_pass(documents):
     """The model's table applied gram by gram, without arrays."""
     import math
 
-    rows_ = labelled(200, 3) + [(7001, "Ünder  99 the\tsea", "en")]
+    rows_ = labelled(200, 3) + [(7001, "Ünder  99 the\tsea", "en"), (7002, "der of und the " * 1500, "en")]
     docs = documents(rows_)
     model = language.fit(docs)
 
