@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -225,6 +226,19 @@ def test_signatures_meet_whenever_sets_are_similar():
     assert tried > 1500
 
 
+def test_shuffles_go_once_a_table_is_stored(spark):
+    """What is not deleted then stays until the driver collects garbage: at 6 GB it filled the disk."""
+    blocks = lambda: {x.toString() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()) if x.toString().startswith("shuffle_")}
+    before = blocks()
+    setting = spark.conf.get(common.CLEANUP)
+    table = common.write_table(spark.range(1000).repartition(7, "id").groupBy(F.expr("id % 50").alias("x")).count(), "counts")
+    for _ in range(100):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before and spark.conf.get(common.CLEANUP) == setting and table.count() == 50
+
+
 def test_keep_one(documents):
     texts = similar_texts(1)
     rows = list(enumerate(texts))
