@@ -54,7 +54,7 @@ UP, INDEX, PROBE = 1 << 13, 1 << 14, 1 << 15  # a signature of the next band; on
 DELETIONS_UNDER = 64
 MEMBERS = 512  # most members in a row's share of a hub
 FEW = 8  # members of a group up to which its pairs are counted as they are
-TILE = 256  # members of a cluster in a tile, more or less
+TILE, TILES = 256, 4096  # members of a cluster in a tile, more or less: of one of up to 1024 members, and at most
 PIECE = 4096  # most members of a group in a row
 ROUNDS = 2  # of verifying each member with its likeliest hub
 
@@ -490,9 +490,10 @@ def met_in_few(groups: DataFrame) -> DataFrame:
 def met_in_many(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Links between different components that meet in groups of more than FEW members, of members that have enough segments in such groups.
 
-    Groups that share members, directly or over other groups, form a cluster; a cluster is one cell,
-    or, beyond TILE members or SHINGLES elements of their sets, one cell for each two of its tiles that a group spans. A cell counts the
-    segments that each two of its members share there. Only the sets of pairs that pass are sent, once a cell.
+    Groups that share members, directly or over other groups, form a cluster, and a cluster is cut into tiles. A member is one row,
+    with its groups and a sketch of its set, dealt to a cell for each tile of its cluster; a cell counts the segments that the
+    members of one tile share with those of the other. Pairs that share too few go, and so do those whose sketches differ too
+    often. Only the sets of pairs that are left are sent, once a cell.
     """
     spark = docs.sparkSession
     wide = F.filter("m", lambda x: x["wide"] >= least_shared(x["size"]))
@@ -504,40 +505,42 @@ def met_in_many(docs: DataFrame, groups: DataFrame) -> DataFrame:
     edges = groups.select("a", F.explode("m.id").alias("b"))
     edges = edges.unionByName(groups.where("parts > 1").groupBy("gid").agg(F.min("a").alias("least"), F.collect_set("a").alias("b")).select(F.col("least").alias("a"), F.explode("b").alias("b")))
     clusters = write_table(connected_components(edges, node="id", component="cluster"), "clusters")
-    sizes = groups.select(F.explode("m").alias("m")).groupBy(F.col("m.id").alias("id")).agg(F.max(F.col("m.size").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n"))
-    tiles = clusters.join(sizes, "id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / SHINGLES)).alias("tiles"))
-    placed = groups.withColumnRenamed("a", "id").join(clusters, "id").join(tiles, "cluster")
-    single = placed.where("tiles = 1 and parts = 1").select(F.col("cluster").cast("string").alias("cell"), "times", "m")
-    large = placed.where("tiles > 1 or parts > 1").select("cluster", "tiles", "gid", "times", F.explode("m").alias("m")).withColumn("tile", F.pmod(F.xxhash64("m.id"), F.col("tiles")))
-    spans = large.groupBy("gid").agg(F.collect_set("tile").alias("others"))
-    large = large.join(spans, "gid").withColumn("other", F.explode("others"))
+    sketches = docs.join(small_or_whole(clusters.select("id"), 16), "id", "left_semi").mapInArrow(tidied(_sketch, _WORDS), "id long, sketch binary")
+    sketches = write_table(sketches.groupBy("id").agg(F.max("sketch").alias("sketch")), "sketches")
+    met = F.col("gid").bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.col("times").cast("long"))
+    members = groups.select(met.alias("met"), F.explode("m").alias("m")).groupBy(F.col("m.id").alias("id")).agg(F.max("m.c").alias("c"), F.max("m.size").alias("size"), F.collect_list("met").alias("met"))
+    members = members.join(clusters, "id").join(sketches, "id")
+    members = write_table(members, "members")
+    elements = F.sum(F.col("size").bitwiseAND(F.lit(0xFFFFFFFF)))
+    count = F.count("*")
+    tiles = members.groupBy("cluster").agg(F.greatest(F.ceil(count / F.greatest(F.lit(TILE), F.least(F.lit(TILES), TILE / 32 * F.sqrt(count)))), F.ceil(elements / (2 * SHINGLES))).alias("tiles"))
+    placed = members.join(small_or_whole(write_table(tiles, "tiles"), 16), "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     cell = F.concat_ws(":", "cluster", F.least("tile", "other"), F.greatest("tile", "other"))
-    large = large.groupBy(cell.alias("cell"), "gid", "times").agg(F.collect_list("m").alias("m")).select("cell", "times", "m")
-    dealt = single.unionByName(large).select("cell", "times", "m.c", "m.id", "m.size", F.col("m.role").cast("array<long>").alias("role"))
+    side = F.signum(F.col("tile") - F.col("other")).cast("int")
+    dealt = placed.select(cell.alias("cell"), side.alias("side"), "id", "c", "size", "met", "sketch")
     dealt = dealt.repartition(partitions(spark), "cell").sortWithinPartitions("cell")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, cell = None, Cell()
+    def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            a, b = cell.passing()
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(a)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
-
-        for whole in batches:
-            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                names, times = b.column(0).to_pylist(), b.column(1).to_numpy()
-                size = pc.list_value_length(b.column(2)).to_numpy()
-                flat, ends = [b.column(i).flatten().to_numpy() for i in range(2, 6)], np.r_[0, np.cumsum(size)]
-                cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    if names[lo] != at:
-                        yield from done()
-                        at, cell = names[lo], Cell()
-                    cell.add(times[lo:hi], size[lo:hi], *(x[ends[lo] : ends[hi]] for x in flat))
+            for a, b in in_cell(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(a), pa.string()), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
+
+        for b in sliced(batches, column=6, rows=256):
+            names = b.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if names[lo] != at:
+                    yield from done()
+                    at, parts = names[lo], []
+                some = b.slice(lo, hi - lo)
+                lists = some.column(5)
+                parts.append((*(some.column(i).to_numpy() for i in range(1, 5)), pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), some.column(6).to_pylist()))
         yield from done()
 
-    pairs = write_table(dealt.mapInArrow(tidied(count), "cell string, a long, b long"), "passing")
+    pairs = write_table(dealt.mapInArrow(tidied(count_shared), "cell string, a long, b long"), "passing")
     cells = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("id", F.pmod(F.xxhash64("cell"), F.lit(64)).alias("part")).agg(F.collect_list("cell").alias("cells"))
     wanted = docs.join(small_or_whole(write_table(cells.drop("part"), "cells"), 64), "id").select("id", "cells", "text")
 
@@ -567,50 +570,87 @@ def by_cell(batches: Iterator[pa.RecordBatch], column: int | None = None, most:
         yield name, itertools.takewhile(bool, (list(itertools.islice(run, most)) for _ in itertools.count()))
 
 
-class Cell:
-    """Counts the segments that each two of a cell's members share."""
-
-    def __init__(self) -> None:
-        self.place: dict[int, int] = {}
-        self.c, self.packed = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.shared, self.wanted = np.zeros((0, 0), np.int32), np.zeros((0, 0), bool)
-
-    def _grow(self, n: int) -> None:
-        old, size = len(self.c), max(n, 2 * len(self.c), 16)
-        self.c, self.packed = (np.r_[x, np.zeros(size - old, np.int64)] for x in (self.c, self.packed))
-        for name in ("shared", "wanted"):
-            x = getattr(self, name)
-            y = np.zeros((size, size), x.dtype)
-            y[:old, :old] = x
-            setattr(self, name, y)
-
-    def add(self, times: np.ndarray, size: np.ndarray, c: np.ndarray, ids: np.ndarray, sizes: np.ndarray, role: np.ndarray) -> None:
-        """Groups of the cell: their times and sizes, and the members of one after another."""
-        some, at = np.unique(ids, return_inverse=True)
-        at = np.fromiter((self.place.setdefault(i, len(self.place)) for i in some.tolist()), np.int64, len(some))[at]
-        if len(self.place) > len(self.c):
-            self._grow(len(self.place))
-        self.c[at], self.packed[at] = c, sizes
-        starts, width = np.r_[0, np.cumsum(size)], len(self.c)
-        shared, wanted = self.shared.reshape(-1), self.wanted.reshape(-1)
-        for n in np.unique(size):
-            i, j = np.triu_indices(n, 1)
-            at_once = max(1, RANGE // max(1, len(i)))
-            rows = np.flatnonzero(size == n)
-            for lo in range(0, len(rows), at_once):
-                row = rows[lo : lo + at_once]
-                x, y = ((starts[row][:, None] + k).ravel() for k in (i, j))
-                cell = np.minimum(at[x], at[y]) * width + np.maximum(at[x], at[y])
-                np.add.at(shared, cell, np.repeat(times[row], len(i)).astype(np.int32))
-                wanted[cell[asked(role[x], role[y])]] = True
-
-    def passing(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of different components that were asked for and share segments enough."""
-        m = len(self.place)
-        ids, c, packed = np.fromiter(self.place, np.int64, m), self.c[:m], self.packed[:m]
-        i, j = np.nonzero(self.wanted[:m, :m] & (c[:, None] != c))
-        ok = passing(packed[i], packed[j], self.shared[i, j])
-        return np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])
+def sketch(s: np.ndarray) -> np.ndarray:
+    """For each of 64 or more parts of the hash universe, 4 to 8 times as many as elements: whether it holds an odd number of them. Two sets differ in as many elements at least as parts."""
+    bits = max(64, 8 << (len(s).bit_length() - 1))
+    odd = np.bincount((s >> U(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches, rows=BLOCK):
+        sets = [(i, s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(s := shingles(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([sketch(s).tobytes() for _, s in sets], pa.binary())], names=["id", "sketch"])
+
+
+def differing(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many parts the sketches i and j differ; the longer one's parts are taken as many together as the shorter one's hold."""
+    out = np.zeros(len(i), np.int64)
+    width = np.array([len(x) for x in sketches])
+    for wide, narrow in np.unique(np.stack([width[i], width[j]], axis=1), axis=0).tolist():
+        which = np.flatnonzero((width[i] == wide) & (width[j] == narrow))
+        few_words = min(wide, narrow)
+        of = [np.unique(x[which], return_inverse=True) for x in (i, j)]
+        rows = [np.stack([folded(sketches[k], few_words) for k in u]) for u, _ in of]
+        at_once = max(1, RANGE // few_words)
+        for lo in range(0, len(which), at_once):
+            x, y = (r[inverse[lo : lo + at_once]] for r, (_, inverse) in zip(rows, of))
+            out[which[lo : lo + at_once]] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A sketch of n words made of a longer one: neighbouring parts, as many as become one, are summed."""
+    if len(words) == n:
+        return words
+    bits = np.unpackbits(words.view(np.uint8)).reshape(64 * n, -1).sum(axis=1) & 1
+    return np.packbits(bits.astype(np.uint8)).view(U)
+
+
+def in_cell(parts: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of a cell's members, one of each side (0: of both), that are in different components, share segments enough and have sketches of similar sets.
+
+    A part: sides, ids, components, packed sizes, numbers of groups, the groups (above 32 bits: the group's name) with their times (below), sketches.
+    """
+    if not parts:
+        return
+    side, ids, c, packed, many, met = (np.concatenate([p[k] for p in parts]) for k in range(6))
+    sketches = [np.frombuffer(x, U) for p in parts for x in p[6]]
+    starts = np.r_[0, np.cumsum(many)]
+    rows, cols = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+    both = len(rows) == len(cols) == len(ids)
+    if not len(rows) or not len(cols):
+        return
+    spread = lambda some: (np.repeat(np.arange(len(some)), many[some]), met[np.repeat(starts[some] - np.r_[0, np.cumsum(many[some])[:-1]], many[some]) + np.arange(many[some].sum())])
+    col, there = spread(cols)
+    order = np.argsort(there >> 32, kind="stable")
+    col, there = col[order], there[order] >> 32
+    for top in range(0, len(rows), BLOCK):
+        some = rows[top : top + BLOCK]
+        row, here = spread(some)
+        lo, hi = (np.searchsorted(there, here >> 32, x) for x in ("left", "right"))
+        times, n = (here & 0xFFFFFFFF).astype(np.int32), hi - lo
+        shared = np.zeros(len(some) * len(cols), np.int32)
+        cut = np.r_[0, np.cumsum(n)]
+        at = 0
+        while at < len(n):
+            end = max(at + 1, int(np.searchsorted(cut, cut[at] + RANGE, "right")) - 1)
+            k = n[at:end]
+            meets = col[np.repeat(lo[at:end] - (cut[at:end] - cut[at]), k) + np.arange(cut[end] - cut[at])]
+            np.add.at(shared, np.repeat(row[at:end] * len(cols), k) + meets, np.repeat(times[at:end], k))
+            at = end
+        found = np.flatnonzero(shared)
+        for lo in range(0, len(found), RANGE):
+            cell = found[lo : lo + RANGE]
+            i, j = some[cell // len(cols)], cols[cell % len(cols)]
+            ok = (c[i] != c[j]) & passing(packed[i], packed[j], shared[cell])
+            if both:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            ok = ALL * differing(sketches, i, j) <= (packed[i] & 0xFFFFFFFF) + (packed[j] & 0xFFFFFFFF)
+            i, j = i[ok], j[ok]
+            if len(i):
+                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
 def linked(sets: list[tuple[int, np.ndarray]], pairs: list[tuple[int, int]], at_once: int = 1 << 19) -> Iterator[pa.RecordBatch]:

@@ -226,6 +226,65 @@ def test_signatures_meet_whenever_sets_are_similar():
     assert tried > 1500
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * 2) for n in (1, 2, 7, 30, 100, 395, 1000)]
+    sets += [np.unique(np.r_[s[rng.random(len(s)) < 0.8], rng.integers(0, 2**63, 1 + len(s) // 6, dtype=np.uint64) * 2]) for s in sets for _ in range(8)]
+    i, j = np.triu_indices(len(sets), 1)
+    found = jaccard.differing([jaccard.sketch(s) for s in sets], i, j)
+    exact = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (found <= exact).all() and ((exact - found) % 2 == 0).all()
+    near = (exact < 0.4 * np.array([len(sets[a]) + len(sets[b]) for a, b in zip(i, j)])) & (exact > 20)
+    assert near.sum() > 20 and found[near].sum() > 0.8 * exact[near].sum()
+
+
+def test_families_of_many_tiles(documents, monkeypatch):
+    """Of a family whose members share two thirds of their words, few are similar; each member is one row for each tile of its cluster."""
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "TILES", 16)
+    rng = random.Random(8)
+    line = prose(rng, 160)
+    rows = [(i, line + " " + prose(rng, rng.choice([30, 45, 60]))) for i in range(150)]
+    _, of = brute_sets(rows)
+    made = {}
+    write = jaccard.write_table
+
+    def kept(df, label):
+        made[label] = write(df, label)
+        return made[label]
+
+    monkeypatch.setattr(jaccard, "write_table", kept)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(documents(rows)).collect()}
+    assert got == of
+    largest = max(made["tiles"].collect(), key=lambda r: r["tiles"])
+    members = made["members"].where(F.col("cluster") == largest["cluster"]).count()
+    assert made["members"].count() <= len(rows) and largest["tiles"] == -(-members // 16) > 2
+    assert made["passing"].count() < 150 * 149 / 2 / 4  # before sketches nearly all pairs of the family passed
+
+
+def test_pairs_of_a_cell_by_brute_force():
+    """Both within one tile and across two."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64) * 2
+    sets = [np.unique(np.r_[base[rng.random(300) < share], rng.integers(0, 2**63, int(rng.integers(1, 90)), dtype=np.uint64) * 2]) for share in rng.choice([0.7, 0.85, 0.95, 1], 60)]
+    segments = []
+    for s in sets:
+        starts, seg = jaccard.cut(s, 192)
+        segments.append((np.add.reduceat(jaccard.mixed(s), starts) ^ jaccard.mixed(seg)) >> np.uint64(33))
+    packed = np.array([len(s) | len(x) << 32 for s, x in zip(sets, segments)])
+    c = rng.integers(0, 20, 60)
+    for across in (False, True):
+        side = rng.choice([-1, 1], 60) if across else np.zeros(60, int)
+        parts = []
+        for k in np.array_split(np.arange(60), 3):
+            met = np.concatenate([segments[i] for i in k]).astype(np.int64) << 32 | 1
+            parts.append((side[k], k, c[k], packed[k], np.array([len(segments[i]) for i in k]), met, [jaccard.sketch(sets[i]).tobytes() for i in k]))
+        got = {(int(x), int(y)) for a, b in jaccard.in_cell(parts) for x, y in zip(a, b)}
+        asked = {(i, j) for i, j in itertools.combinations(range(60), 2) if c[i] != c[j] and (not across or side[i] != side[j])}
+        similar = {(i, j) for i, j in asked if jaccard.similar(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))}
+        assert similar <= got <= asked and len(similar) > 50 and len(got) < len(similar) + 0.3 * (len(asked) - len(similar))
+
+
 def test_shuffles_go_once_a_table_is_stored(spark):
     """What is not deleted then stays until the driver collects garbage: at 6 GB it filled the disk."""
     blocks = lambda: {x.toString() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()) if x.toString().startswith("shuffle_")}
