@@ -401,6 +401,43 @@ def test_later_holders_of_a_seed_are_paired_with_neighbours():
     assert sorted(zip(d, o)) == [(1, 2), (2, 1), (2, 3), (3, 1), (3, 2), (3, 4), (4, 1), (4, 3)]
 
 
+def test_many_chains_are_aligned_at_once():
+    """Each as alone, and a hub's words are held once for all its members."""
+    rng = np.random.default_rng(7)
+    s = passages.Settings()
+    pairs, expected = [], []
+    for _ in range(12):
+        hub = rng.integers(0, 40, int(rng.choice([30, 200, 1500])), dtype=np.uint32)
+        for _ in range(6):
+            member = np.where(rng.random(len(hub)) < rng.choice([0, 0.01, 0.1, 0.3]), rng.integers(0, 40, len(hub)), hub).astype(np.uint32)[: int(rng.integers(20, len(hub)))]
+            chains = []
+            for _ in range(8):
+                x = int(rng.integers(0, len(member) - 8))
+                y, n = int(rng.choice([x, rng.integers(0, len(member) - 8)])), int(rng.integers(1, 9))
+                parts = [(x, y, n)] if rng.random() < 0.8 or max(x, y) + n + 4 > len(member) else [(x, y, n), (x + n + 1, y + n + 2, 2)]
+                chains.append(np.array(parts, np.int32))
+            pairs.append((hub, member, [c.tobytes() for c in chains]))
+            for c in chains:
+                x0, x1, y0, y1, same = passages.align(hub, member, c, s)
+                if min(x1 - x0, y1 - y0) >= s.stretch and same >= s.identity * max(x1 - x0, y1 - y0):
+                    expected.append((len(pairs) - 1, x0, x1, y0, y1, same))
+    got = sorted(zip(*(v.tolist() for v in passages.align_all(pairs, s))))
+    assert got == sorted(expected) and len(got) > 100
+    hub = np.arange(1 << 22, dtype=np.uint32)  # 16 MB, once; 500 times would not fit
+    assert len(passages.align_all([(hub, hub[:40], [np.array([[0, 0, 8]], np.int32).tobytes()])] * 500, s)[0]) == 500
+
+
+def test_seeds_are_leftmost_minima():
+    rng = np.random.default_rng(9)
+    for n in (5, 6, 7, 8, 60):
+        for pick in (1, 2, 3, 5):
+            s = passages.Settings(pick=pick)
+            w = rng.integers(0, 4, n, dtype=np.uint64)
+            every = [passages.seeds(w[i : i + s.k], s)[0][0] for i in range(n - s.k + 1)]
+            expected = sorted({i + int(np.argmin(every[i : i + pick])) for i in range(max(min(1, len(every)), len(every) - pick + 1))})
+            assert passages.seeds(w, s)[1].tolist() == expected
+
+
 def test_chains_are_best_by_brute_force():
     rng = random.Random(9)
     s = passages.Settings()
