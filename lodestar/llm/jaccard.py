@@ -201,6 +201,15 @@ def wanting(n: int, have: int, several: int, need: int) -> bool:
     return have + (min(have, several) if n < DELETIONS_UNDER else 0) < need
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones, and so on: what sorted or small numbers have in common shrinks when it is shuffled."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+
+
 def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
     """Signatures of a task's distinct sets, packed by bucket and sorted: 40 bits of signature, role and place in the blob's list of sets."""
 
@@ -226,7 +235,7 @@ def _packer(heavy: np.ndarray, heavy_df: np.ndarray, keys: np.ndarray):
                 part = order[ends[i] : ends[i + 1]]
                 if len(part):
                     used, place = np.unique(doc[part], return_inverse=True)
-                    row = (int(keys[i]), sig[part].astype(np.uint32).tobytes() + (sig[part] >> U(56)).astype(np.uint8).tobytes(), (place.astype(np.uint16) | role[part]).tobytes(), *(x[used].tobytes() for x in of))
+                    row = (int(keys[i]), planes(sig[part].astype(np.uint32)) + (sig[part] >> U(56)).astype(np.uint8).tobytes(), (place.astype(np.uint16) | role[part]).tobytes(), *(planes(x[used]) for x in of))
                     for to, x in zip(rows, row):
                         to.append(x)
             for x in (ids, sets, digests):
@@ -264,7 +273,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for bucket, s, p, *of in zip(*(c.to_pylist() for c in b.columns)):
             at = np.frombuffer(p, np.uint16)
-            blobs.append((np.frombuffer(s, np.uint32, len(at)), np.frombuffer(s, np.uint8, len(at), 4 * len(at)), at, *(np.frombuffer(x, kind) for x, kind in zip(of, (np.int64, np.int64, U)))))
+            blobs.append((from_planes(s[: 4 * len(at)], np.uint32), np.frombuffer(s, np.uint8, len(at), 4 * len(at)), at, *(from_planes(x, kind) for x, kind in zip(of, (np.int64, np.int64, U)))))
             total += len(at)
     ranges = max(1, -(-total // RANGE))
     edges = ((np.arange(ranges + 1, dtype=U) << U(32)) // U(ranges))[1:-1].astype(np.uint32)

@@ -262,6 +262,17 @@ def test_families_of_many_tiles(documents, monkeypatch):
     assert made["passing"].count() < 150 * 149 / 2 / 4  # before sketches nearly all pairs of the family passed
 
 
+def test_packed_numbers_come_back_and_shrink():
+    rng = np.random.default_rng(3)
+    for kind in (np.uint32, np.int64, np.uint64):
+        for n in (0, 1, 5000):
+            x = np.sort(rng.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True))
+            assert (jaccard.from_planes(jaccard.planes(x), kind) == x).all() and jaccard.from_planes(jaccard.planes(x), kind).dtype == kind
+    ids = rng.integers(0, 300_000, 4000)
+    size = lambda b: pa.compress(b, codec="lz4_raw", asbytes=True).__len__()
+    assert size(jaccard.planes(ids)) < 0.65 * size(ids.tobytes())
+
+
 def test_pairs_of_a_cell_by_brute_force():
     """Both within one tile and across two."""
     rng = np.random.default_rng(5)
