@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import SCORES, l2_score
+from ..functions.metrics import l2_score
+from .search import exact_scores, nearest
 
 
 def fit_centroids(rows: DataFrame, lists: int, sample: int = 20_000, steps: int = 10, seed: int = 11) -> list[list[float]]:
@@ -42,11 +43,15 @@ def assign(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 
 def probe(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, metric: str = "cosine") -> DataFrame:
-    """knn over the `probes` lists nearest to each query; lists (list_id, key, embedding) may be partitioned by list_id."""
-    by_query = Window.partitionBy("query_id").orderBy("d", "list_id")
-    met = queries.crossJoin(F.broadcast(centroids)).select("query_id", "query", "list_id", l2_score(F.col("query"), F.col("centroid")).alias("d"))
-    wanted = met.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= probes).select("query_id", "query", "list_id")
-    scored = lists.join(wanted, "list_id").select("query_id", "key", SCORES[metric](F.col("embedding"), F.col("query")).alias("score"))
-    ranks = Window.partitionBy("query_id").orderBy("score", "key")
-    return scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
+    """knn over the `probes` lists nearest to each query; lists (list_id, key, embedding) may be partitioned by list_id.
 
+    The lists of a query are found where the queries are, ties to the smaller id; rows are compared as in knn(), whatever list they are of.
+    """
+    c = sorted((r["list_id"], r["centroid"]) for r in centroids.select("list_id", "centroid").collect())
+    ids, at = np.array([i for i, _ in c], np.int64), np.array([x for _, x in c], float)
+
+    def wanted(q: np.ndarray) -> np.ndarray:
+        far = np.stack([exact_scores("l2", q, x) for x in at], axis=1)
+        return ids[np.argsort(far, axis=1, kind="stable")[:, :probes]]
+
+    return nearest(lists.select("key", "embedding", "list_id"), queries, k, metric, wanted=wanted)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,63 @@ def test_stream_stores_each_change_once(spark, tmp_path):
         ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
     assert {r["key"]: r["seq"] for r in current(spark, str(tmp_path / "out")).collect()} == {r["key"]: r["seq"] for r in ch.live(spark.createDataFrame(log, CHANGES)).collect()}
+
+
+def compare(x, q, k, metric, exclude_self=False, lists=None, in_list=None, keys=None):
+    """What a task sends on: {query: [(score, key)]}, sorted."""
+    keys = keys or [str(i) for i in range(len(x))]
+    cols = [pa.array(keys), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))] + ([pa.array(in_list, pa.int32())] if lists is not None else [])
+    b = pa.RecordBatch.from_arrays(cols, names=["key", "embedding", "list_id"][: len(cols)])
+    found = {}
+    run = search._compare(pa.array(range(len(q)), pa.int64()), q, k, metric, exclude_self, lists)
+    for part in run(b.slice(i, 700) for i in range(0, len(x), 700)):
+        for j, key, score in zip(*(c.to_pylist() for c in part.columns)):
+            found.setdefault(j, []).append((score, key))
+    return {j: sorted(v) for j, v in found.items()}
+
+
+@pytest.mark.parametrize("metric", list(M.SCORES))
+def test_a_task_finds_the_best_in_bounded_tiles(monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (900, 5)).astype(float)  # with ties and zero vectors
+    x[17], x[18, 2] = np.nan, np.nan
+    q, sound = x[:60].copy(), np.isfinite(x).all(axis=1)
+    q[17:19] = 1.0
+    in_list, lists = np.arange(900) % 7, np.stack([np.arange(60) % 7, (np.arange(60) + 3) % 7], axis=1)
+    brute = lambda j, ok: sorted(zip(search.exact_scores(metric, x[ok], np.repeat(q[j : j + 1], ok.sum(), axis=0)).tolist(), map(str, np.flatnonzero(ok))))[:4]
+    for sizes in ((4096, 1 << 21, 1 << 15, 1 << 21), (50, 300, 16, 100), (8, 8, 8, 8)):
+        for name, n in zip(("BLOCK", "TILE", "PAIRS", "ENTRIES"), sizes):
+            monkeypatch.setattr(search, name, n)
+        every, other, probed = compare(x, q, 4, metric), compare(x, q, 4, metric, exclude_self=True), compare(x, q, 4, metric, lists=lists, in_list=in_list)
+        for j in range(60):
+            assert every[j][:4] == brute(j, sound)
+            assert other[j][:4] == brute(j, sound & (np.arange(900) != j))
+            assert probed[j][:4] == brute(j, sound & np.isin(in_list, lists[j]))
+
+
+def test_a_task_holds_little_whatever_the_number_of_queries():
+    """All queries by 2048 rows were one matrix of doubles, some times over: gigabytes in a worker."""
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(3000, 16)), rng.normal(size=(20_000, 16))
+    tracemalloc.start()
+    found = compare(x, q, 2, "cosine")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 20_000 and peak < 150e6
+
+
+def test_probing_joins_no_rows(spark):
+    """Rows were joined with the queries of their list, and each pair scored by an interpreted expression."""
+    v = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(20)], "key string, embedding array<float>")
+    c = [[0.0, 1.0], [15.0, 1.0]]
+    q = spark.createDataFrame([(7, [3.0, 1.0])], "query_id long, query array<float>")
+    near = ivf.probe(ivf.assign(v, c), q, ivf.centroid_rows(spark, c), 2, 1, "l2")
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+    assert [(r["query_id"], r["rank"], r["key"], r["score"]) for r in near.orderBy("rank").collect()] == [(7, 1, "3", 0.0), (7, 2, "2", 1.0)]
+
+
+def test_a_row_that_is_not_finite_hides_no_other(spark):
+    v = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [float("nan"), 0.0]), ("c", [2.0, 1.0])], "key string, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, query array<float>")
+    for metric in M.SCORES:
+        assert {r["key"] for r in search.knn(v, q, 2, metric).collect()} == {"a", "c"}
