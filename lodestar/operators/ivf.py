@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import l2_score
-from .search import exact_scores, nearest
+from ..shipping import ship
+from .search import blocks, exact_scores, left_side, matrix, nearest, right_side
 
 
 def fit_centroids(rows: DataFrame, lists: int, sample: int = 20_000, steps: int = 10, seed: int = 11) -> list[list[float]]:
@@ -30,16 +33,29 @@ def centroid_rows(spark, centroids: list[list[float]]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(centroids)), "list_id int, centroid array<double>")
 
 
-def nearest_list(embedding: Column, centroids: list[list[float]]) -> Column:
-    """List of an embedding, as an expression: the centroids are one literal, read within the scan."""
-    literal = F.array(*(F.array(*map(F.lit, c)) for c in centroids))
-    far = F.transform(literal, lambda c, i: F.struct(l2_score(embedding, c).alias("d"), i.alias("i")))
-    return F.array_min(far)["i"].cast("int")
-
-
 def assign(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """rows (key, embedding) with the list_id of their nearest centroid, ties to the smaller id, found within the scan."""
-    return rows.select("key", "embedding", nearest_list(F.col("embedding"), centroids).alias("list_id"))
+    """rows (key, embedding) with the list_id of their nearest centroid, ties to the smaller id, found within the scan.
+
+    A matrix product leaves the centroids that may be nearest, and these are measured exactly, left to right in doubles.
+    """
+    c = np.array(centroids, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, cc = right_side("l2", c), (c * c).sum(axis=1)
+        for b in blocks(batches):
+            x = matrix(b.column(1), c.shape[1])
+            far = left_side("l2", x) @ right.T
+            slack = 1e-10 * ((x * x).sum(axis=1) + cc.max())
+            i, j = np.nonzero(~(far > (far.min(axis=1) + 2 * slack)[:, None]))
+            d = exact_scores("l2", x[i], c[j])
+            order = np.lexsort((j, d, i))
+            first = order[np.r_[True, i[order][1:] != i[order][:-1]]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j[first].astype(np.int32))], names=["key", "embedding", "list_id"])
+
+    ship(rows.sparkSession)
+    given = rows.select("key", "embedding")
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(run, f"key {kinds['key']}, embedding {kinds['embedding']}, list_id int")
 
 
 def probe(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, metric: str = "cosine") -> DataFrame:
